@@ -64,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _BASE32 = """
-    list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
         ((instr('0123456789abcdef', substr(h, 1 + ((5 * i) // 4)::int, 1)) - 1) * 16
           + greatest(instr('0123456789abcdef', substr(h || '0', 2 + ((5 * i) // 4)::int, 1)) - 1, 0))
         >> (3 - (5 * i) % 4)::int) % 32, 1)), 'string_agg', '')

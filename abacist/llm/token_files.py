@@ -59,7 +59,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
                 store.create_dir(path, recursive=True)
                 name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 names = [f"{name}.{kind}" for kind in ("ids", "offsets", "docs")]
-                files = [store.open_output_stream(f"{path}/{n}") for n in names]
+                files = [store.open_output_stream(f"{path}/{n}", compression=None) for n in names]
                 files[1].write(np.zeros(1, dtype="<i8").tobytes())
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in grouped(texts):

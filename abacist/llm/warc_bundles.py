@@ -155,7 +155,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                         store, path = pyarrow.fs.FileSystem.from_uri(folder)
                         store.create_dir(path, recursive=True)
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
-                    writer = BundleWriter(store.open_output_stream(f"{path}/{name}"))
+                    writer = BundleWriter(store.open_output_stream(f"{path}/{name}", compression=None))
                 payload = html or b""
                 digest = base32_sha1(payload)
                 rec = record(page, url, payload, digest, first, bool(repeats) and first is not None and page != first)
