@@ -18,6 +18,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label's ``doc_id`` is read as the id of the page that it judges; good: of quality and not toxic."""
+    from abacist.llm import url_reputation
+
+    good = F.col("quality") * (1 - F.col("toxic"))
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, RULES)
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import warc_bundles
 
@@ -40,6 +54,12 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from abacist.llm import credential_links
+
+    return credential_links.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import sos_packing
     from abacist.llm.workspace import stored
@@ -56,9 +76,11 @@ def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_reputation": op1_url_reputation,
     "op2_warc_bundles": op2_warc_bundles,
     "op4_token_files": op4_token_files,
     "op5_piece_bpe": op5_piece_bpe,
+    "op6_credential_links": op6_credential_links,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op10_mjpeg_avi": op10_mjpeg_avi,
 }
@@ -70,7 +92,44 @@ _BASE32 = """
         >> (3 - (5 * i) % 4)::int) % 32, 1)), 'string_agg', '')
 """
 
+
+def _moments(counts: str, parent: str) -> str:
+    """Prior strength of the children of each parent, as SQL."""
+    return f"""
+        SELECT 1 / least(greatest(CASE WHEN sum(room) > 1e-9 THEN (sum(seen) - sum(chance)) / sum(room) ELSE 0.1 END, 0.001), 0.999) - 1 AS m
+        FROM (SELECT sum(k * k / n::double) - sum(k) * (sum(k) / sum(n)::double) AS seen,
+                     (sum(k) / sum(n)::double) * (1 - sum(k) / sum(n)::double) * (count(*) - 1) AS chance,
+                     (sum(k) / sum(n)::double) * (1 - sum(k) / sum(n)::double)
+                       * (sum(n) - sum(n * n) / sum(n)::double - (count(*) - 1)) AS room
+              FROM {counts} WHERE n > 0 {parent})
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_reputation": f"""
+        WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+             h AS (SELECT host, split_part(host, '.', -2) || CASE WHEN contains(host, '.') THEN '.' ELSE '' END || split_part(host, '.', -1) AS domain,
+                          split_part(host, '.', -1) AS suffix, count(quality * (1 - toxic)) AS n,
+                          coalesce(sum(quality * (1 - toxic)), 0) AS k
+                   FROM p LEFT JOIN labels l ON l.doc_id = p.page_id GROUP BY 1, 2, 3),
+             d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
+             s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
+             g AS (SELECT (sum(k) + 1) / (sum(n) + 2)::double AS r FROM s),
+             ms AS ({_moments("s", "")}), md AS ({_moments("d", "GROUP BY suffix")}), mh AS ({_moments("h", "GROUP BY suffix, domain")}),
+             sr AS (SELECT suffix, (k + m * r) / (n + m) AS r FROM s, ms, g),
+             dr AS (SELECT domain, suffix, (k + m * r) / (n + m) AS r FROM d JOIN sr USING (suffix), md),
+             hr AS (SELECT host, (h.k + m * r) / (h.n + m) AS rate, h.n + m + 1 AS weight FROM h JOIN dr USING (domain, suffix), mh),
+             hb AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / weight) AS bound FROM hr),
+             r(what, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                           ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+             f AS (SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(what, length(rule_host || rule_path)) AS what
+                   FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.what, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict,
+               round(rate, 6) AS rate, round(bound, 6) AS bound
+        FROM p JOIN hb USING (host) LEFT JOIN f USING (page_id)
+    """,
     "op2_warc_bundles": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
              q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
