@@ -69,6 +69,12 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sos_packing.pack(pieces, 2048)
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from abacist.llm import superminhash
+
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
 def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import mjpeg_avi
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_bpe": op5_piece_bpe,
     "op6_credential_links": op6_credential_links,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
+    "op9_superminhash": op9_superminhash,
     "op10_mjpeg_avi": op10_mjpeg_avi,
 }
 
@@ -139,4 +146,19 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM q
     """,
+    "op9_superminhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        sh AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END) AS s
+               FROM w),
+        n AS (SELECT w.doc_id, count(DISTINCT s) AS n_shingles FROM w LEFT JOIN sh USING (doc_id) GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                  WHERE 100 * c >= 85 * (x.n_shingles + y.n_shingles - c)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+        SELECT doc_id, n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n_shingles
+    """,
 }
