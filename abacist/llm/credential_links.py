@@ -113,7 +113,7 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced together.
     """
-    rows = spans(docs.select("*"))
+    rows = spans(docs.select(F.struct("*").alias("row"), "text"))  # within a struct, no name can clash
     # spans are sorted by start: keep the text from the furthest end so far up to each start
     step = lambda held, s: F.struct(
         F.greatest(held["at"], s["end"]).alias("at"),
@@ -125,7 +125,8 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     piece = lambda p: F.substring(F.col("text"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))
     tail = F.substring(F.col("text"), (F.col("_kept.at") + 1).cast("int"), F.length("text"))
     text = F.concat(F.array_join(F.transform("_kept.parts", piece), mark), F.lit(mark), tail)
-    return rows.withColumn("text", F.when(F.size("all_spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("all_spans") > 0, text).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:

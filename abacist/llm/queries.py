@@ -40,6 +40,15 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the declared language is the ``lang`` column, the host the ``source``; they have no address suffix."""
+    from abacist.llm import language_fusion
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_fusion.fit(docs)
+    return language_fusion.identify(docs, model, F.col("lang"), F.lit(""), F.col("source")).drop("text_key")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import token_files
 
@@ -60,6 +69,12 @@ def op6_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_links.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_pstable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from abacist.llm import pstable_ann
+
+    return pstable_ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import sos_packing
     from abacist.llm.workspace import stored
@@ -84,9 +99,11 @@ def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_language_fusion": op3_language_fusion,
     "op4_token_files": op4_token_files,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_credential_links": op6_credential_links,
+    "op7_pstable_ann": op7_pstable_ann,
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_superminhash": op9_superminhash,
     "op10_mjpeg_avi": op10_mjpeg_avi,
