@@ -33,7 +33,7 @@ TABLES, HASHES, SEED = 4, 4, 20
 #: Width of a bucket, in deviations of the projections over the sample.
 WIDTH = 1.25
 #: Rows of the sample, queries of it, the recall to reach on it, and the most buckets that a query visits in a table.
-SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.98, 2_048
+SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.95, 2_048
 #: Vectors of a bucket in one chunk; queries compared with a chunk at once.
 CHUNK, QUERY_BLOCK = 4_096, 1_024
 HELD = 1_000_000
