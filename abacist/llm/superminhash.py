@@ -40,7 +40,7 @@ PLACES, BAND = 150, 5
 #: Deviations of the estimate below the threshold at which pairs are still verified.
 DEVIATIONS = 4
 #: Members of a bucket compared with each other; larger buckets are linked as a whole, which verification undoes.
-BUCKET_BLOCK = 2048
+BUCKET_BLOCK = 512
 #: Texts and set elements of a block of a family; a task verifies two blocks together.
 FAMILY_BLOCK, FAMILY_ELEMENTS = 1024, 2_000_000
 CACHE_WORDS = 1_000_000
