@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from abacist.llm.workspace import slices
 
 #: Segments kept per Python worker; the dictionary is emptied when it is full, which changes no result.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 1_500_000
 CACHE_CHARS = 48
 MARK = "▁"
 
