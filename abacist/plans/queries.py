@@ -189,7 +189,7 @@ def mad_threshold(spark, d):
     return r4(fits.mad_threshold(t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity"), "mad", "threshold")
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber * 10000000::bigint + l_partkey AS o, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+@query("""WITH p AS (SELECT l_orderkey, (l_linenumber * 10000000::bigint + l_partkey) * 100 + l_quantity::bigint AS o, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
                h AS (SELECT a.l_orderkey, a.o AS i, b.o AS j, (b.y - a.y) / (b.x - a.x) AS m, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS c
                      FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.o < b.o AND abs(a.x - b.x) > 1e-12),
                s AS (SELECT h.l_orderkey, i, j, m, c, round(0.5 * count(*) FILTER (power(y - (m * x + c), 2) <= 25) - sum(least(power(y - (m * x + c), 2), 25)), 5) AS score,
@@ -199,7 +199,7 @@ def mad_threshold(spark, d):
           WHERE power(y - (m * x + c), 2) <= 25 GROUP BY 1 HAVING count(*) >= 2 AND var_pop(x) > 1e-12""")
 def consensus_fit(spark, d):
     li = t(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
-    li = li.withColumn("o", F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey"))
+    li = li.withColumn("o", (F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long"))
     got = fits.consensus_fit(li, ["l_orderkey"], "l_quantity", "y", "o", 5.0)
     return got.select("l_orderkey", "n_inliers", (F.round("slope", 2) + 0.0).alias("slope"))
 
