@@ -111,10 +111,9 @@ def _counts(lang: str, counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], schema=schema)
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    shifted = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, y: a + y))
+def softmax(logs: np.ndarray) -> np.ndarray:
+    shifted = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return shifted / shifted.sum(axis=1, keepdims=True)
 
 
 def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
@@ -124,73 +123,83 @@ def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
     return parts.select(*keys, F.array(*[F.col(f"_{i}") for i in range(n)]).alias(name))
 
 
+SCORED = "doc_id long, text_key long, declared string, suffix string, host string, scores array<double>, part array<long>"
+JUDGED = "doc_id long, text_key long, lang string, posterior double, kept boolean"
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an array column as float64; zeros for nulls."""
+    out = np.zeros((len(column), width))
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def fused(scores: np.ndarray, own: np.ndarray, whole: np.ndarray, suffix: np.ndarray, host: np.ndarray, stated: np.ndarray, said: np.ndarray, ways: int, none: int) -> np.ndarray:
+    """Posteriors of the rows' languages. Counts are millionths of rows; ``own`` is each row's part in them.
+
+    ``stated``: counts of the row's declaration by language, all zero without one; ``said``: of all declarations.
+    """
+    n = scores.shape[1]
+    start = np.full(n, 1 / max(1, n - 1) / (1 + NONE_PRIOR))
+    start[none] = NONE_PRIOR / (1 + NONE_PRIOR)
+    prior = (whole - own + start * UNIT) / (whole.sum() + UNIT - own.sum(axis=1, keepdims=True))
+    for counts, strength in ((suffix, SUFFIX_STRENGTH * UNIT), (host, HOST_STRENGTH * UNIT)):
+        left = np.maximum(counts - own, 0)
+        prior = (left + strength * prior) / (left.sum(axis=1, keepdims=True) + strength)
+    likely = (np.maximum(stated - own, 0) + UNIT / ways) / (np.maximum(said - own, 0) + UNIT)
+    likely[stated.sum(axis=1) == 0] = 1
+    return softmax(scores + np.log(np.maximum(prior, 1e-12)) + np.log(likely))
+
+
 def identify(docs: DataFrame, model: TextModel, declared: Column, suffix: Column, host: Column) -> DataFrame:
     """``doc_id, text_key, lang, posterior, kept`` of every row. ``text_key`` tells rows of one id apart."""
-    n = len(model.languages)
+    names = model.languages
+    n = len(names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers: at most 17 MB
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("declared", pa.string()), ("suffix", pa.string()),
-                        ("host", pa.string()), ("scores", pa.list_(pa.float64()))])
+                        ("host", pa.string()), ("scores", pa.list_(pa.float64())), ("part", pa.list_(pa.int64()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in slices(batches, 2048):
             scores = [of.scores(t) for t in as_bytes(batch.column("text"))]
+            parts = [None if s is None else np.rint(softmax(np.array([s]))[0] * UNIT).astype(np.int64) for s in scores]
             kept = [batch.column(f.name) for f in list(schema)[:5]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.list_(pa.float64()))], schema=schema)
+            columns = [pa.array(scores, pa.list_(pa.float64())), pa.array(parts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], schema=schema)
 
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), declared.cast("string").alias("declared"),
-        suffix.cast("string").alias("suffix"), host.cast("string").alias("host"), "text",
+        F.coalesce(suffix.cast("string"), F.lit("")).alias("suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), "text",
     )
-    scored = rows.mapInArrow(score, "doc_id long, text_key long, declared string, suffix string, host string, scores array<double>")
-    none = F.array(*[F.lit(0) for _ in range(n)]).cast("array<bigint>")
-    parts = F.transform(_softmax(F.col("scores")), lambda p: F.round(p * UNIT).cast("bigint"))
-    scored = stored(scored.withColumn("part", F.when(F.col("scores").isNotNull(), parts).otherwise(none)), "language-scores")
+    scored = stored(rows.mapInArrow(score, SCORED), "language-scores")
 
     seen = scored.where("scores IS NOT NULL")
-    by_host = _sums(seen, ["suffix", "host"], n, "of_host")
+    by_host = stored(_sums(seen, ["suffix", "host"], n, "of_host"), "host-languages")
     by_suffix = stored(_sums(by_host.withColumnRenamed("of_host", "part"), ["suffix"], n, "of_suffix"), "suffix-languages")
-    whole = _sums(by_suffix.withColumnRenamed("of_suffix", "part"), [], n, "part").first()["part"]
     by_declared = stored(_sums(seen.where("declared IS NOT NULL"), ["declared"], n, "of_declared"), "declared-languages")
-    said = _sums(by_declared.withColumnRenamed("of_declared", "part"), [], n, "part").first()["part"]
+    whole = np.array(_sums(by_suffix.withColumnRenamed("of_suffix", "part"), [], n, "part").first()["part"], dtype=float)
+    said = np.array(_sums(by_declared.withColumnRenamed("of_declared", "part"), [], n, "part").first()["part"], dtype=float)
     ways = by_declared.count() + 1
-
-    by_host = stored(by_host, "host-languages")
-    rows = scored.alias("s").join(by_host.alias("h"), [F.col("s.suffix").eqNullSafe(F.col("h.suffix")), F.col("s.host").eqNullSafe(F.col("h.host"))], "left")
-    rows = rows.select("s.*", F.coalesce("of_host", none).alias("of_host"))
-    rows = rows.alias("s").join(by_suffix.alias("x"), F.col("s.suffix").eqNullSafe(F.col("x.suffix")), "left")
-    rows = rows.select("s.*", F.coalesce("of_suffix", none).alias("of_suffix")).join(by_declared, "declared", "left")
-
-    start = [NONE_PRIOR / (1 + NONE_PRIOR) if x == NONE else 1 / max(1, n - 1) / (1 + NONE_PRIOR) for x in model.languages]
-    own = F.when(F.col("scores").isNotNull(), F.col("part")).otherwise(none)
-    rows = rows.withColumn("_prior", _whole_prior(whole, start, own, n))
-    for name, strength in (("of_suffix", SUFFIX_STRENGTH * UNIT), ("of_host", HOST_STRENGTH * UNIT)):
-        held = F.col(name)
-        weight = _total(held, n) - _total(own, n) + strength
-        rows = rows.withColumn("_prior", F.array(*[(held[i] - own[i] + strength * F.col("_prior")[i]) / weight for i in range(n)]))
-    counted = F.col("of_declared")
-    stated = F.array(*[F.log((counted[i] - own[i] + UNIT / ways) / (float(said[i]) - own[i] + UNIT)) for i in range(n)])
-    stated = F.when(counted.isNotNull(), stated).otherwise(F.array(*[F.lit(0.0) for _ in range(n)]))
-    evidence = F.array(*[F.col("scores")[i] + F.log(F.greatest(F.col("_prior")[i], F.lit(1e-12))) + F.col("_stated")[i] for i in range(n)])
-    rows = rows.withColumn("_stated", stated).withColumn("_all", _softmax(evidence)).withColumn("posterior", F.array_max("_all"))
-    names = F.array(*[F.lit(x) for x in model.languages])
-    best = F.when(F.col("scores").isNotNull(), F.get(names, (F.array_position("_all", F.col("posterior")) - 1).cast("int"))).otherwise(NONE)
-    rows = rows.withColumn("lang", best).withColumn("posterior", F.round(F.coalesce("posterior", F.lit(0.0)), 6))
-    return rows.select("doc_id", "text_key", "lang", "posterior", ((F.col("lang") != NONE) & (F.col("posterior") >= LEAST)).alias("kept"))
-
-
-def _total(numbers: Column, n: int) -> Column:
-    out = numbers[0]
-    for i in range(1, n):
-        out = out + numbers[i]
-    return out
-
-
-def _whole_prior(whole: list[int], start: list[float], own: Column, n: int) -> Column:
-    """Shares of the languages in all rows but this one, smoothed by one row's worth of ``start``."""
-    left = F.lit(float(sum(whole) + UNIT)) - _total(own, n)
-    return F.array(*[(F.lit(float(w)) - own[i] + p * UNIT) / left for i, (w, p) in enumerate(zip(whole, start))])
+    joined = scored.join(by_host, ["suffix", "host"], "left").join(by_suffix, "suffix", "left").join(by_declared, "declared", "left")
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("lang", pa.string()), ("posterior", pa.float64()), ("kept", pa.bool_())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = names.index(NONE)
+        for batch in slices(batches, 4096):
+            if not batch.num_rows:
+                continue
+            parts = [_matrix(batch.column(c), n) for c in ("scores", "part", "of_suffix", "of_host", "of_declared")]
+            posterior = fused(parts[0], parts[1], whole, parts[2], parts[3], parts[4], said, ways, none)
+            there = batch.column("scores").is_valid().to_numpy(zero_copy_only=False)
+            best = np.where(there, posterior.argmax(axis=1), none)
+            sure = np.where(there, np.round(posterior.max(axis=1), 6), 0.0)
+            columns = [pa.array([names[i] for i in best], pa.string()), pa.array(sure), pa.array((best != none) & (sure >= LEAST))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], schema=out)
+
+    return joined.select("doc_id", "text_key", "scores", "part", "of_suffix", "of_host", "of_declared").mapInArrow(judge, JUDGED)
 
 
 def filtered(docs: DataFrame, judged: DataFrame) -> DataFrame:
