@@ -35,6 +35,8 @@ TEMPER, MOST = 1 / 4, 60.0
 #: Prior weight of ``und``; strengths of the priors of suffix and host; least posterior of a kept row.
 NONE_PRIOR, SUFFIX_STRENGTH, HOST_STRENGTH, LEAST = 0.01, 10.0, 10.0, 0.5
 UNIT = 1_000_000
+#: Text in no language: every trigram as rare as one in so many. Mixed-language texts stay well above.
+UNLIKELY = 10_000.0
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -54,7 +56,7 @@ class TextModel:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = [*languages, NONE]
         p = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS) if len(languages) else np.zeros((0, BUCKETS))
-        rows = [np.log(x) for x in p] + [np.full(BUCKETS, -np.log(2000.0))]
+        rows = [np.log(x) for x in p] + [np.full(BUCKETS, -np.log(UNLIKELY))]
         self.table = np.rint(np.array(rows) * 1024).astype(np.int32).T.copy()
 
     def scores(self, text: bytes | None) -> list[float] | None:
