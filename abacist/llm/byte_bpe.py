@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Chunks kept per Python worker. The dictionary is emptied when it is full, which changes no result.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 450_000
 #: Longer chunks are encoded each time instead of being kept.
 CACHE_CHARS = 48
 

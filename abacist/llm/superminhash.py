@@ -43,7 +43,7 @@ DEVIATIONS = 4
 BUCKET_BLOCK = 512
 #: Texts and set elements of a block of a family; a task verifies two blocks together.
 FAMILY_BLOCK, FAMILY_ELEMENTS = 1024, 2_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 _GOLDEN, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
