@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abacist.llm.workspace import as_bytes, slices, stored
+from abacist.llm.workspace import as_bytes, slices, stored, tidied
 
 #: The classifier's sample: at most so many labelled rows, those with the smallest hashes of their ids; and languages.
 SAMPLE_ROWS, LANGUAGES = 8_000, 64
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, label: str = "lang") -> TextModel:
             yield _counts(*item, schema)
 
     sample = named.where(mixed <= last).select(F.col(label).alias("lang"), "text")
-    summed = stored(sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    summed = stored(sample.mapInArrow(lambda x: tidied(count(x)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     largest = summed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     languages = sorted(r["lang"] for r in largest.collect())
     counts = np.zeros((len(languages), BUCKETS))
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: TextModel, declared: Column, suffix: Column
         F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), declared.cast("string").alias("declared"),
         F.coalesce(suffix.cast("string"), F.lit("")).alias("suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), "text",
     )
-    scored = stored(rows.mapInArrow(score, SCORED), "language-scores")
+    scored = stored(rows.mapInArrow(lambda x: tidied(score(x)), SCORED), "language-scores")
 
     seen = scored.where("scores IS NOT NULL")
     by_host = stored(_sums(seen, ["suffix", "host"], n, "of_host"), "host-languages")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from abacist.llm.workspace import slices
+from abacist.llm.workspace import slices, tidied
 
 #: Segments kept per Python worker; the dictionary is emptied when it is full, which changes no result.
 CACHE_SEGMENTS = 1_500_000
@@ -169,4 +169,4 @@ def encode_decode(docs: DataFrame, model: str, digests_only: bool = False) -> Da
             columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(batch_rows, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lambda x: tidied(batch_rows(x)), SCHEMA)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abacist.llm.workspace import slices, stored
+from abacist.llm.workspace import slices, stored, tidied
 
 #: Pieces packed in one group; a group is one task's work.
 GROUP_PIECES = 16_384
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, with_ids:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(cut, PIECES)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lambda x: tidied(cut(x)), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacist.llm.workspace import as_bytes, slices, stored
+from abacist.llm.workspace import as_bytes, slices, stored, tidied
 
 #: Places of a signature, and places of a band: all bands miss a pair of similarity 0.8 with a chance of 7e-6.
 PLACES, BAND = 150, 5
@@ -144,7 +144,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                        pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(sign, SIGNED)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lambda x: tidied(sign(x)), SIGNED)
 
 
 class Forest:
@@ -239,7 +239,7 @@ def loose_links(sets: DataFrame, percent: int) -> DataFrame:
         yield _edges(a, b)
 
     dealt = small.repartition(spread, "key").sortWithinPartitions("key")
-    return whole.unionByName(dealt.mapInArrow(link, "a long, b long"))
+    return whole.unionByName(dealt.mapInArrow(lambda x: tidied(link(x)), "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def verified_links(docs: DataFrame, families: DataFrame, words: int, percent: in
                 yield _edges([int(reps[i]) for i, _ in links], [int(reps[k]) for _, k in links])
 
     ordered = rows.repartition(spread, "task").sortWithinPartitions("task", "rep")
-    return ordered.mapInArrow(verify, "a long, b long")
+    return ordered.mapInArrow(lambda x: tidied(verify(x)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abacist.llm.workspace import fresh_path, slices, stored
+from abacist.llm.workspace import fresh_path, slices, stored, tidied
 
 NULL_ID = -(2**63)
 MANIFEST = "part int, n_docs long, n_tokens long, width int, ids string, offsets string, docs string"
@@ -82,7 +82,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = stored(ordered.mapInArrow(write_part, MANIFEST), "token-manifest")
+    manifest = stored(ordered.mapInArrow(lambda x: tidied(write_part(x)), MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, not per document
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

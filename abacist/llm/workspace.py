@@ -7,13 +7,14 @@ planner knows its size, so it broadcasts such a table only below the session's o
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,10 +54,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def arrow_schema(schema: StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end, memory that this worker has freed goes back to the system, as the worker lives on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -64,19 +67,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
-
-
-def runs(batches: Iterator[pa.RecordBatch], same: Callable[[dict, int], object]) -> Iterator[list[dict]]:
-    """Neighbouring rows with an equal key, from batches that are sorted by it."""
-    group: list[dict] = []
-    held: object = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = same(row, 0)
-            if group and key != held:
-                yield group
-                group = []
-            held = key
-            group.append(row)
-    if group:
-        yield group
