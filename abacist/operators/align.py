@@ -51,7 +51,7 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def report(aligned: DataFrame, kind: str, gold_value: str, pred_value: str, same: Column) -> DataFrame:
-    """Matched rows' accuracy and concordance by type and over all (null type), with the gates' outcomes."""
+    """Matched rows' accuracy and concordance by type and over all (null type), with the gates' outcomes. Empty relations give no rows."""
     grouped = aligned.groupingSets([[], [kind]], kind).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg((F.col("in_gold") & F.col("in_pred")).cast("double")).alias("success_rate"),

@@ -292,10 +292,10 @@ def tick_merge(spark, d):
 @query("""WITH s AS (SELECT c_nationkey, c_acctbal AS x, row_number() OVER w AS k, count(*) OVER p AS n, sum(c_acctbal - m) OVER (w ROWS UNBOUNDED PRECEDING) AS s, m
                      FROM (SELECT *, avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS m FROM customer) WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), p AS (PARTITION BY c_nationkey)),
                b AS (SELECT *, round(s * s / k + s * s / (n - k), 6) AS gain FROM s WHERE k < n QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY round(s * s / k + s * s / (n - k), 3) DESC, k) = 1)
-          SELECT c_nationkey, k::int AS n_low, n - k AS n_high, round(m + s / k, 1) AS low_center, round(m - s / (n - k), 1) AS high_center FROM b""")
+          SELECT c_nationkey, k::int AS n_low, n - k AS n_high, round(m + s / k, 6) AS low_center, round(m - s / (n - k), 6) AS high_center FROM b""")
 def two_means_1d(spark, d):
     got = cluster.two_means(t(spark, d, "customer"), ["c_nationkey"], "c_acctbal", "c_custkey")
-    return got.select("c_nationkey", "n_low", "n_high", F.round("low_center", 1).alias("low_center"), F.round("high_center", 1).alias("high_center"))
+    return got.select("c_nationkey", "n_low", "n_high", F.round("low_center", 6).alias("low_center"), F.round("high_center", 6).alias("high_center"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS x, value AS y FROM events),
