@@ -6,6 +6,10 @@ A query visits the perturbed buckets of each table in the order of estimated suc
 distances to the sides of the bucket that its projection must cross. How many it visits is fitted on a bounded sample, to
 reach the recall ``TARGET`` there; the full table is denser, so its neighbours are nearer and easier to find.
 
+The visits are capped, so each query is measured: those whose own recall on the sample misses ``TARGET``, or that found
+fewer entries than a result needs, are compared exactly with all rows, in blocks. A vector of outlying norm, which moves
+all queries away from their data, therefore costs time, not results.
+
 Every distinct vector is indexed in every table, and no bucket is capped: a bucket's vectors are dealt in chunks of at most
 ``CHUNK`` to tasks, and the queries that visit it go to each chunk. Chunks rerank exactly and emit the best of each query.
 Copies of a vector are one entry with their smallest ids, as many as a result can hold, so a vector that a
@@ -36,6 +40,8 @@ WIDTH = 1.25
 SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.95, 2_048
 #: Vectors of a bucket in one chunk; queries compared with a chunk at once.
 CHUNK, QUERY_BLOCK = 4_096, 1_024
+#: The exact search: about so many vectors in a block at most, and at least so many blocks. Each block gives every missed query's best.
+EXACT_BLOCK, EXACT_BLOCKS = 65_536, 12
 HELD = 1_000_000
 
 
@@ -50,6 +56,8 @@ class Hashing:
         self.width = np.maximum(WIDTH * spread, 1e-9)
         self.shift = rng.random(TABLES * HASHES)
         self.probes = 1
+        self.sample = sample
+        self.sample_keys = self.keys(np.floor(self.places(sample, False)).astype(np.int64))
 
     def lifted(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         """Vectors with the component that makes their norms equal; for queries of that norm, 0."""
@@ -94,6 +102,24 @@ class Hashing:
             out.append(np.unique(self.keys(buckets)[:, t]))
         return out
 
+    def nearest(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per query the numbers of its ``k`` best vectors of the sample, other than itself."""
+        score = queries @ self.sample.T
+        m = min(k + 1, len(self.sample))
+        best = np.argpartition(-score, m - 1, axis=1)[:, :m]
+        out = []
+        for q, s, near in zip(queries, score, best):
+            near = near[np.argsort(-s[near], kind="stable")]
+            out.append(near[(self.sample[near] != q).any(axis=1)][:k])
+        return out
+
+    def hits(self, near: np.ndarray, visited: list[np.ndarray]) -> int:
+        """How many of these vectors of the sample are in visited buckets."""
+        hit = np.zeros(len(near), dtype=bool)
+        for t in range(TABLES):
+            hit |= np.isin(self.sample_keys[near, t], visited[t])
+        return int(hit.sum())
+
 
 def fitted(vectors: np.ndarray, largest_norm: float, k: int) -> Hashing:
     """Hash functions and the number of visits that reach ``TARGET`` on the sample."""
@@ -101,19 +127,11 @@ def fitted(vectors: np.ndarray, largest_norm: float, k: int) -> Hashing:
     queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
     if len(vectors) < 2:
         return hashing
-    score = queries @ vectors.T
-    best = np.argpartition(-score, min(k, len(vectors) - 1), axis=1)[:, : k + 1]
-    keys = hashing.keys(np.floor(hashing.places(vectors, False)).astype(np.int64))
+    best = hashing.nearest(queries, k)
     places = hashing.places(queries, True)
     while True:
-        found = 0
-        for place, near in zip(places, best):
-            visited = hashing.visits(place)
-            hit = np.zeros(len(near), dtype=bool)
-            for t in range(TABLES):
-                hit |= np.isin(keys[near, t], visited[t])
-            found += hit.sum()
-        if found >= TARGET * best.size or hashing.probes >= MOST_PROBES:
+        found = sum(hashing.hits(near, hashing.visits(place)) for place, near in zip(places, best))
+        if found >= TARGET * sum(map(len, best)) or hashing.probes >= MOST_PROBES:
             return hashing
         hashing.probes = min(MOST_PROBES, max(hashing.probes + 1, hashing.probes * 3 // 2))
 
@@ -170,7 +188,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     entries = entries.where(F.size("v") == dimension)
     chosen = np.array([v for v in sample.to_pylist() if len(v) == dimension], dtype=np.float64)
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    largest = entries.agg(F.sqrt(F.max(squares))).first()[0]
+    largest, total = entries.agg(F.sqrt(F.max(squares)), F.count(F.lit(1))).first()
     shared = spark.sparkContext.broadcast(fitted(chosen, largest, k))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,22 +201,28 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             if batch.num_rows:
-                of = shared.value
-                keys = [np.concatenate(of.visits(p)) for p in of.places(_matrix(batch.column("v")), True)]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "v", "keys"])
+                of, v = shared.value, _matrix(batch.column("v"))
+                own = of.keys(np.floor(of.places(v, False)).astype(np.int64))  # where the query's own copies are
+                keys, sure = [], []
+                for at, place, near in zip(own, of.places(v, True), of.nearest(v, k)):
+                    visited = of.visits(place)
+                    keys.append(np.unique(np.concatenate([*visited, at])))
+                    sure.append(of.hits(near, visited) >= TARGET * len(near) - 1e-9)
+                columns = [batch.column("rep"), batch.column("v"), pa.array(keys, pa.list_(pa.int64())), pa.array(sure)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "v", "keys", "sure"])
 
     kind = "rep long, v array<double>, keys array<long>"
     indexed = stored(entries.select("rep", "v").mapInArrow(index, kind), "index")
     asked = taking.where(is_query).select("vec_id", "v").distinct()
     # each distinct query vector is searched once
     question = asked.groupBy("v").agg(F.min("vec_id").alias("rep")).where(F.size("v") == dimension)
-    probing = stored(question.select("rep", "v").repartition(spread, "rep").mapInArrow(probe, kind), "probes")
+    probing = stored(question.select("rep", "v").repartition(spread, "rep").mapInArrow(probe, f"{kind}, sure boolean"), "probes")
 
     buckets = indexed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     chunks = stored(buckets.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
     ours = indexed.select("rep", "v", F.explode("keys").alias("key")).join(chunks, "key")
     ours = ours.select("key", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("asks"), "rep", "v")
-    theirs = probing.select("rep", "v", F.explode("keys").alias("key")).join(chunks, "key")
+    theirs = probing.where("sure").select("rep", "v", F.explode("keys").alias("key")).join(chunks, "key")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     theirs = theirs.select("key", every.alias("chunk"), F.lit(1).alias("asks"), "rep", "v")
     found_schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
@@ -230,9 +254,47 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     dealt = ours.unionByName(theirs).repartition(spread, "key", "chunk").sortWithinPartitions("key", "chunk", "asks")
     found = dealt.mapInArrow(rerank, "query long, rep long, score double").distinct()
     first = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    best = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
+    top = lambda rows: rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
+    best = stored(top(found), "visited")
+    sizes = best.groupBy(F.col("query").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
+    enough = F.col("sure") & (F.coalesce("n", F.lit(0)) >= min(k + 1, total))
+    missed = stored(probing.select("rep", "v", "sure").join(sizes, "rep", "left").where(~enough).select("rep", "v"), "missed")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for batch in slices(batches, QUERY_BLOCK):
+            of = batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(of)]):
+                if of[a] != block:
+                    block, parts = of[a], []
+                run = batch.slice(a, b - a)
+                reps, v = run.column("rep").to_numpy(), _matrix(run.column("v"))
+                n = int((run.column("asks").to_numpy() == 0).sum())  # a block's vectors come before the queries
+                if n:
+                    parts.append((reps[:n], v[:n]))
+                if n == len(reps) or not parts:
+                    continue
+                if len(parts) > 1:
+                    parts = [tuple(map(np.concatenate, zip(*parts)))]
+                theirs, w = parts[0]
+                q, m = v[n:], min(len(w), k + 5)
+                top_m = np.argpartition(-(q @ w.T), m - 1, axis=1)[:, :m]
+                i, j = np.repeat(np.arange(len(q)), m), top_m.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(reps[n + i], theirs[j], _exact(q[i], w[j]), k + 1)], schema=found_schema)
+
+    # every vector is in one block, and every missed query goes to each block
+    blocks = max(EXACT_BLOCKS, -(-total // EXACT_BLOCK))
+    held = entries.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "v")
+    if missed.isEmpty():
+        whole = best
+    else:
+        asking = missed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "rep", "v")
+        grid = held.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+        exact = top(grid.mapInArrow(compare, "query long, rep long, score double"))
+        whole = best.join(missed.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(exact)
     # entries to ids; queries' copies each drop themselves
-    copies = best.join(entries.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
+    copies = whole.join(entries.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     listed = copies.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1)
     answers = listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))

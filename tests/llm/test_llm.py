@@ -183,6 +183,22 @@ def test_neighbours(spark):
     assert pstable_ann.search(table.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_neighbours_beside_an_outlying_norm(spark):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(2000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1999] *= 8
+    v = v.astype("f4").astype("f8")
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in pstable_ann.search(table, F.col("vec_id") % 50 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 2000, 50):
+        score = v @ v[q]
+        score[q] = -np.inf
+        assert len(got[q]) == 20 and len(got[q] & set(np.argsort(-score)[:20].tolist())) >= 19
+
+
 def test_packing(spark, docs, empty):
     path = tokenizer_file("byte_bpe_50k.json")
     pieces = sos_packing.pieces(docs, path, 0, 256, with_ids=True).cache()
