@@ -1,7 +1,8 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
-* Text: a naive Bayes model over hashed byte trigrams, fitted to a bounded sample of labelled rows. Its log likelihoods
-  are tempered, since neighbouring trigrams aren't independent. A uniform model stands for text in no language (``und``).
+* Text: a naive Bayes model over hashed byte trigrams, fitted to a bounded sample of each label's rows, so that every
+  label has a class, however rare it is and however many there are. Its log likelihoods are tempered,
+  since neighbouring trigrams aren't independent. A uniform model stands for text in no language (``und``).
 * Declared language (markup or metadata): how often each declaration goes with each text language, counted over all rows.
 * Address suffix and host: priors by grouped aggregation of all rows' text posteriors, the host's shrunk to its
   suffix's, the suffix's to that of all rows; a row's own part is taken out of its priors.
@@ -21,13 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from abacist.llm.workspace import as_bytes, slices, stored, tidied
 
-#: The classifier's sample: at most so many labelled rows, those with the smallest hashes of their ids; and languages.
-SAMPLE_ROWS, LANGUAGES = 8_000, 64
+#: The classifier's sample: at most so many different rows of each label, those with the smallest hashes.
+SAMPLE_ROWS = 2_000
+#: Languages counted at once in a task; up to so many, the model is a dense table.
+HELD, DENSE = 64, 64
 BUCKETS = 1 << 16
 NONE = "und"
 #: Nats of text evidence per nat of naive Bayes, and the most that it may weigh against any language.
@@ -51,13 +56,37 @@ _FOLD = bytes(ord(" ") if b in b"\t\n\r\v\f0123456789" else b + 32 if 65 <= b <=
 
 
 class TextModel:
-    """Log likelihoods of trigram buckets by language, in whole 1/1024 nats, the last row uniform."""
+    """Log likelihoods of trigram buckets by language, in whole 1/1024 nats, the last language uniform.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    ``unseen`` has each language's value of a bucket without counts; the others are entries (language, value less
+    ``unseen``) in the order of their buckets, from ``first[bucket]`` on.
+    """
+
+    def __init__(self, languages: list[str], of: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        """``of, bucket, n``: the number of a language, a bucket and its count there."""
         self.languages = [*languages, NONE]
-        p = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS) if len(languages) else np.zeros((0, BUCKETS))
-        rows = [np.log(x) for x in p] + [np.full(BUCKETS, -np.log(UNLIKELY))]
-        self.table = np.rint(np.array(rows) * 1024).astype(np.int32).T.copy()
+        total = np.bincount(of, weights=n, minlength=len(languages)) + 0.05 * BUCKETS
+        whole = lambda p: np.rint(np.log(p) * 1024).astype(np.int32)
+        self.unseen = np.append(whole(0.05 / total), whole(1 / UNLIKELY)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        self.of = of[order].astype(np.int32)
+        self.more = whole((n[order] + 0.05) / total[self.of]) - self.unseen[self.of]
+        self.first = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.table = None
+        if len(languages) <= DENSE:
+            self.table = np.tile(self.unseen, (BUCKETS, 1))
+            self.table[bucket[order], self.of] += self.more
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """The summed values of the buckets by language."""
+        if self.table is not None:
+            return self.table[codes].sum(axis=0, dtype=np.int64)
+        code, times = np.unique(codes, return_counts=True)
+        start, size = self.first[code], self.first[code + 1] - self.first[code]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        # whole numbers below 2**53: exact
+        found = np.bincount(self.of[at], weights=self.more[at] * np.repeat(times, size), minlength=len(self.unseen))
+        return self.unseen.astype(np.int64) * len(codes) + found.astype(np.int64)
 
     def scores(self, text: bytes | None) -> list[float] | None:
         """Tempered log likelihoods, the best 0; none for texts without trigrams."""
@@ -66,7 +95,7 @@ class TextModel:
         for start in range(0, len(text or b""), 1 << 20):  # a bounded piece at a time; pieces overlap by two bytes
             codes = trigrams(text[start : start + (1 << 20) + 2])
             any_seen |= len(codes) > 0
-            total += self.table[codes].sum(axis=0, dtype=np.int64)
+            total += self.sums(codes)
         if not any_seen:
             return None
         nats = total / 1024 * TEMPER
@@ -74,12 +103,17 @@ class TextModel:
 
 
 def fit(docs: DataFrame, label: str = "lang") -> TextModel:
-    """Fit to at most ``SAMPLE_ROWS`` rows with a label, all of whose text is read."""
-    mixed = F.xxhash64("doc_id", F.lit("language sample"))
-    named = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    last = named.select(mixed.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-    if last is None:
-        return TextModel([], np.zeros((0, BUCKETS)))
+    """Fit to at most ``SAMPLE_ROWS`` different rows of each label, all of whose text is read."""
+    mixed = F.xxhash64("doc_id", "text", F.lit("language sample")).alias("h")
+    named = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("lang"), "text", mixed)
+    hashes = stored(named.select("lang", "h").distinct(), "label-hashes")
+    # hashes are even: a label's first rows are below twice their share of the range, so no task meets all rows of a label
+    sizes = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * SAMPLE_ROWS
+    nearest = Window.partitionBy("lang").orderBy("h")
+    first = hashes.join(F.broadcast(sizes), "lang").where((F.col("n") <= 2 * SAMPLE_ROWS) | share)
+    first = first.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= SAMPLE_ROWS)
+    last = stored(first.groupBy("lang").agg(F.max("h").alias("last")), "label-samples")
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,22 +124,18 @@ def fit(docs: DataFrame, label: str = "lang") -> TextModel:
                     held[lang] = np.zeros(BUCKETS, dtype=np.int64)
                 for start in range(0, len(text), 1 << 20):
                     held[lang] += np.bincount(trigrams(text[start : start + (1 << 20) + 2]), minlength=BUCKETS)
-            while len(held) > LANGUAGES:
+            while len(held) > HELD:
                 yield _counts(*held.popitem(), schema)
         for item in held.items():
             yield _counts(*item, schema)
 
-    sample = named.where(mixed <= last).select(F.col(label).alias("lang"), "text")
+    sample = named.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
     summed = stored(sample.mapInArrow(lambda x: tidied(count(x)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    largest = summed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in largest.collect())
-    counts = np.zeros((len(languages), BUCKETS))
-    # at most LANGUAGES x BUCKETS numbers, whatever the corpus
-    table = summed.where(F.col("lang").isin(languages)).toArrow()
-    at = {x: i for i, x in enumerate(languages)}
-    rows = np.array([at[x] for x in table.column("lang").to_pylist()], dtype=np.int64)
-    counts[rows, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return TextModel(languages, counts)
+    # a number for each language and bucket seen in it: at most SAMPLE_ROWS rows of each label, whatever the corpus
+    table = summed.toArrow()
+    languages = sorted(r["lang"] for r in last.select("lang").collect())
+    of = pa.compute.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    return TextModel(languages, of.astype(np.int64), table.column("bucket").to_numpy(), table.column("n").to_numpy())
 
 
 def _counts(lang: str, counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -158,7 +188,7 @@ def identify(docs: DataFrame, model: TextModel, declared: Column, suffix: Column
     """``doc_id, text_key, lang, posterior, kept`` of every row. ``text_key`` tells rows of one id apart."""
     names = model.languages
     n = len(names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers: at most 17 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # up to DENSE languages a table of 17 MB, beyond that 8 bytes per language and bucket seen
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("declared", pa.string()), ("suffix", pa.string()),
                         ("host", pa.string()), ("scores", pa.list_(pa.float64())), ("part", pa.list_(pa.int64()))])
 
