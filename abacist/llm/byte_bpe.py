@@ -2,7 +2,8 @@
 
 Merges never cross the pieces that the pre-tokenizer cuts, so a text may be cut at piece boundaries, each
 different chunk encoded once by the library, and the ids joined. Made-up or rare words then cost one
-library call per worker, repeated words one dictionary look-up. Ids are held as little-endian unsigned
+library call per worker, repeated words one dictionary look-up. Texts with the string of one of the file's added
+tokens go to the library whole, which gives the token's own id, as it does by default. Ids are held as little-endian unsigned
 32-bit bytes, the form in which they are written and summed.
 """
 
@@ -34,14 +35,14 @@ _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b
 
 
 class ByteBpe:
-    """Encoder for one tokenizer file; special tokens' strings in a text are ordinary text."""
+    """Encoder for one tokenizer file: the library's ids with ``add_special_tokens=False``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # ``known`` holds every result already
@@ -67,6 +68,8 @@ class ByteBpe:
         known = self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        given, texts = texts, ["" if i in whole else t for i, t in enumerate(texts)]
         plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
         cut = [_PIECE.findall(t) if p else _BEFORE_WORD.split(t) for t, p in zip(texts, plain)]
         new = self._learn_pieces(set().union(*[c for c, p in zip(cut, plain) if p]).difference(known))
@@ -77,6 +80,8 @@ class ByteBpe:
             new |= more
         known[""] = b""
         out = [b"".join([known[c] for c in chunks]) for chunks in cut]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(given[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
         for c in new:
             if len(c) > CACHE_CHARS:
                 del known[c]
