@@ -3,12 +3,13 @@
 Strong spans are reported as they are: assigned passwords and tokens, cloud access identifiers, long
 hexadecimal strings. Weak candidates, which are common in harmless text, are reported only if
 complementary parts co-occur in their scope: a weak identifier needs a secret, a weak secret an identifier, an
-endpoint both. Scopes are the blocks of ``REACH`` code points of a text; a part is joined with those that start in its
-own or a neighbouring block. That interval join works on block numbers within the row, so nothing is
+endpoint both. A part's scope is the text up to ``REACH`` code points before its start and after its end; parts
+that reach into it are joined with it, wherever in the text they are. That interval join sorts the row's parts by
+their starts and compares each with the furthest end before it and the nearest start after it, so nothing is
 shuffled and no pairs are made.
 
 A pattern's places come from ``split`` and ``regexp_extract_all``, which find the same matches: the lengths of the
-parts between and of the matches, summed up in blocks so that the work stays linear in the number of matches.
+parts between and of the matches, summed up (as are the ends and starts) in blocks so that the work stays linear in the number of matches.
 
 Nulls count as empty texts, without spans. Equal rows give equal rows. An empty table gives an empty table.
 """
@@ -18,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code points of a scope's block.
-REACH = 256
+#: The most code points between two parts that belong together.
+REACH = 1_024
+_FAR = 1 << 60
 _BLOCK = 256  # matches summed together
 
 #: Kinds in the order in which they are listed: (pattern, capture group to measure, its least length).
@@ -39,16 +41,16 @@ NEEDS = {"account": ("secret",), "mixed": ("identifier",), "endpoint": ("identif
 KINDS = [*STRONG, *WEAK]
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the numbers before each one."""
-    step = lambda held, x: F.struct((held["at"] + x).alias("at"), F.concat(held["all"], F.array(held["at"])).alias("all"))
+def _running(lengths: Column, add=lambda a, x: a + x, first: int = 0) -> Column:
+    """Sums of the numbers before each one, or what another associative ``add`` makes of them."""
+    step = lambda held, x: F.struct(add(held["at"], x).alias("at"), F.concat(held["all"], F.array(held["at"])).alias("all"))
     sums = lambda numbers, start: F.aggregate(
         numbers, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("all")), step, lambda held: held["all"]
     )
     blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
     of = lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK)
-    zero = F.lit(0).cast("bigint")
-    totals = F.transform(blocks, lambda b: F.aggregate(of(b), zero, lambda a, x: a + x))
+    zero = F.lit(first).cast("bigint")
+    totals = F.transform(blocks, lambda b: F.aggregate(of(b), zero, lambda a, x: add(a, x)))
     inner = F.flatten(F.zip_with(blocks, sums(totals, zero), lambda b, start: sums(of(b), start)))
     return F.when(F.size(lengths) > 0, inner).otherwise(F.array().cast("array<bigint>"))
 
@@ -81,18 +83,28 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("content", F.coalesce("text", F.lit("")))
     for kind, (pattern, group, least) in (STRONG | WEAK).items():
         rows = _located(rows, kind, pattern, group, least)
-    block = lambda s: F.floor(s["start"] / REACH)
-    for role in ("identifier", "secret"):
-        parts = F.concat(*[F.col(k) for k in KINDS if ROLES[k] == role])
-        rows = rows.withColumn(f"_{role}", F.array_distinct(F.transform(parts, block)))
-    near = lambda s: F.array(*[block(s) + d for d in (-1, 0, 1)])
-    for kind in WEAK:
-        needed = [F.col(f"_{role}") for role in NEEDS[kind]]
-        rows = rows.withColumn(kind, F.filter(kind, lambda s: _all(F.arrays_overlap(near(s), blocks) for blocks in needed)))
     tagged = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), s["end"].alias("end")))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[tagged(k) for k in STRONG])))
-    rows = rows.withColumn("all_spans", F.array_sort(F.concat("base", *[tagged(k) for k in WEAK])))
-    return rows.drop("content", "_identifier", "_secret", *WEAK)
+    rows = rows.withColumn("_weak", F.concat(*[tagged(k) for k in WEAK]))
+    rows = rows.withColumn("_parts", F.when(F.size("_weak") > 0, F.array_sort(F.concat("base", "_weak"))))
+    is_of = lambda s, role: s["kind"].isin(*[KINDS.index(k) for k in KINDS if ROLES[k] == role])
+    for role in ("identifier", "secret"):
+        ends = F.transform("_parts", lambda s: F.when(is_of(s, role), s["end"]).otherwise(F.lit(-_FAR)))  # noqa: B023
+        starts = F.transform(F.reverse("_parts"), lambda s: F.when(is_of(s, role), s["start"]).otherwise(F.lit(_FAR)))  # noqa: B023
+        rows = rows.withColumn("_ends", ends).withColumn("_starts", starts)
+        rows = rows.withColumn("_ends", _running(F.col("_ends"), F.greatest, -_FAR))
+        rows = rows.withColumn("_starts", F.reverse(_running(F.col("_starts"), F.least, _FAR)))
+        after = F.zip_with("_parts", "_ends", lambda s, e: s["start"] - e <= REACH)
+        before = F.zip_with("_parts", "_starts", lambda s, a: a - s["end"] <= REACH)
+        rows = rows.withColumn(f"_{role}", F.zip_with(after, before, lambda a, b: a | b))
+    either = F.zip_with("_identifier", "_secret", lambda i, s: F.struct(i.alias("identifier"), s.alias("secret")))
+    joined = F.zip_with("_parts", either, lambda s, near: F.struct(s.alias("part"), near.alias("near")))
+    linked = lambda x: _all(
+        (x["part"]["kind"] != KINDS.index(k)) | _all(x["near"][role] for role in NEEDS[k]) for k in WEAK
+    )
+    kept = F.transform(F.filter(joined, linked), lambda x: x["part"])
+    rows = rows.withColumn("all_spans", F.when(F.size("_weak") > 0, kept).otherwise(F.col("base")))
+    return rows.drop("content", "_weak", "_parts", "_ends", "_starts", "_identifier", "_secret", *WEAK)
 
 
 def _all(conditions) -> Column:
