@@ -1,27 +1,30 @@
 """Nearest neighbours by inner product: p-stable hashing with multiple probes, and exact reranking.
 
-Vectors get one more component that makes all norms the largest norm (queries get 0), so that the order by inner product
-becomes the order by distance. A table hashes a vector with ``HASHES`` functions ``floor((a x + b) / w)``, ``a`` normal (2-stable).
-A query visits the perturbed buckets of each table in the order of estimated success: the sum of the squared
-distances to the sides of the bucket that its projection must cross. How many it visits is fitted on a bounded sample, to
-reach the recall ``TARGET`` there; the full table is denser, so its neighbours are nearer and easier to find.
-
-The visits are capped, so each query is measured: those whose own recall on the sample misses ``TARGET``, or that found
-fewer entries than a result needs, are compared exactly with all rows, in blocks. A vector of outlying norm, which moves
-all queries away from their data, therefore costs time, not results.
-
-Every distinct vector is indexed in every table, and no bucket is capped: a bucket's vectors are dealt in chunks of at most
-``CHUNK`` to tasks, and the queries that visit it go to each chunk. Chunks rerank exactly and emit the best of each query.
+Vectors get one more component that makes all norms one norm (queries get 0), so that the order by inner product
+becomes the order by distance. That norm covers ``LIFTED`` of a sample; the few vectors of larger norm have a bucket of
+their own that every query visits, so that outliers don't move queries away from the other data. A table hashes a vector
+with ``HASHES`` functions ``floor((a x + b) / w)``, ``a`` normal (2-stable).
+
+A query visits the perturbed buckets of each table in the order of estimated success: the sum of the squared distances to
+the sides of the bucket that its projection must cross. How many it visits is measured for each query: as many as find the
+share ``TARGET`` of its nearest vectors in a bounded sample; the full table is denser, so its neighbours are nearer and
+easier to find. Queries that no number of visits serves, whose last neighbour ties with others (the smaller id wins, which no
+hash can tell), or that found fewer entries than a result needs, are compared exactly with all rows, in blocks.
+
+Every distinct vector is indexed in every table and stored once, in a block of about ``BLOCK`` vectors that holds whole buckets of
+the first table where they fit. Hash keys and block numbers find the blocks that a query meets; its candidates in a block are merged over
+tables and scored once. Where a query's buckets hold over ``DENSE`` of the sample, every query goes to every block without that look-up.
 Copies of a vector are one entry with their smallest ids, as many as a result can hold, so a vector that a
 third of all rows share costs no more than any other; its group is cut down before it is shuffled.
 
 Vectors that are null, zero, of another length than most of the sample's, or hold a null or non-finite component
-take no part. Rows with null ids take no part. Repeated rows with equal ids and vectors count once. An empty table gives an empty table.
+take no part. Rows with null ids take no part. Repeated rows with equal ids and vectors count once. Ties go to the smaller
+id, however many there are. Other columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,31 +36,37 @@ from pyspark.sql.window import Window
 from abacist.llm.superminhash import _keyed_runs
 from abacist.llm.workspace import slices, stored
 
-TABLES, HASHES, SEED = 4, 4, 20
-#: Width of a bucket, in deviations of the projections over the sample.
-WIDTH = 1.25
-#: Rows of the sample, queries of it, the recall to reach on it, and the most buckets that a query visits in a table.
-SAMPLE, SAMPLE_QUERIES, TARGET, MOST_PROBES = 8_192, 256, 0.95, 2_048
-#: Vectors of a bucket in one chunk; queries compared with a chunk at once.
-CHUNK, QUERY_BLOCK = 4_096, 1_024
-#: The exact search: about so many vectors in a block at most, and at least so many blocks. Each block gives every missed query's best.
-EXACT_BLOCK, EXACT_BLOCKS = 65_536, 12
-HELD = 1_000_000
+TABLES, HASHES, SEED = 2, 4, 20
+#: Width of a bucket, in deviations of the projections over the sample; the most steps from a query's own bucket in a function.
+WIDTH, STEPS = 1.0, 4
+#: Rows of the sample, queries of it, the recall to reach on it, and the share of its norms that the lift covers.
+SAMPLE, SAMPLE_QUERIES, TARGET, LIFTED = 8_192, 256, 0.95, 0.995
+#: Vectors in a block (at most, but for chance) and the least number of blocks; queries compared with a block at once.
+BLOCK, BLOCKS, QUERY_BLOCK = 32_768, 12, 256
+#: Share of the sample in a query's buckets from which looking up blocks doesn't pay.
+DENSE = 0.1
+#: Key of the vectors that the lift doesn't cover.
+OUTLYING = -1
+PAIRS, HELD = 65_536, 1_000_000
+
+#: All perturbations: steps of each function.
+_MOVES = np.array(list(itertools.product(range(-STEPS, STEPS + 1), repeat=HASHES)))
+_PLACE = (2 * STEPS + 1) ** np.arange(HASHES - 1, -1, -1)
 
 
 class Hashing:
     """The hash functions of all tables, fitted to a sample's norms and projections."""
 
-    def __init__(self, sample: np.ndarray, largest_norm: float):
+    def __init__(self, sample: np.ndarray):
         rng = np.random.default_rng(SEED)
-        self.norm = largest_norm
+        self.norm = float(np.quantile(np.sqrt(np.einsum("ij,ij->i", sample, sample)), LIFTED)) * (1 + 1e-6)
         self.normals = rng.standard_normal((TABLES * HASHES, sample.shape[1] + 1))
         spread = (self.lifted(sample, False) @ self.normals.T).std(axis=0) if len(sample) > 1 else np.ones(TABLES * HASHES)
         self.width = np.maximum(WIDTH * spread, 1e-9)
         self.shift = rng.random(TABLES * HASHES)
-        self.probes = 1
         self.sample = sample
-        self.sample_keys = self.keys(np.floor(self.places(sample, False)).astype(np.int64))
+        self.sample_buckets = np.floor(self.places(sample, False)).astype(np.int64)
+        self.sample_outlying = self.index_keys(sample)[:, 0] == OUTLYING
 
     def lifted(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         """Vectors with the component that makes their norms equal; for queries of that norm, 0."""
@@ -73,67 +82,70 @@ class Hashing:
 
     @staticmethod
     def keys(buckets: np.ndarray) -> np.ndarray:
-        """One number per (table, bucket) of an array (rows, tables, hashes)."""
-        key = np.broadcast_to(np.arange(TABLES, dtype=np.int64), buckets.shape[:2]).copy()
+        """One number per (table, bucket) of an array (rows, tables, ..., hashes)."""
+        key = np.zeros(buckets.shape[:-1], dtype=np.int64)
+        key += np.arange(TABLES).reshape((TABLES,) + (1,) * (buckets.ndim - 3))
         for i in range(HASHES):
-            key = key * 1024 + np.clip(buckets[:, :, i] + 512, 0, 1023)
+            key = key * 1024 + np.clip(buckets[..., i] + 512, 0, 1023)
         return key
 
-    def visits(self, place: np.ndarray) -> list[np.ndarray]:
-        """Per table the keys of the buckets that one query visits, in estimated success order."""
-        out = []
-        for t in range(TABLES):
-            base = np.floor(place[t]).astype(np.int64)
-            inside = place[t] - base
-            # reaching step d of a function crosses this distance
-            cost = [sorted([(0.0, 0)] + [((d - inside[i]) ** 2, d) for d in range(1, 9)] + [((d - 1 + inside[i]) ** 2, -d) for d in range(1, 9)]) for i in range(HASHES)]
-            steps, seen = [], {(0,) * HASHES}
-            agenda = [(0.0, (0,) * HASHES)]
-            while agenda and len(steps) < self.probes:
-                total, at = heapq.heappop(agenda)
-                steps.append([cost[i][k][1] for i, k in enumerate(at)])
-                for i in range(HASHES):
-                    after = at[:i] + (at[i] + 1,) + at[i + 1 :]
-                    if after[i] < len(cost[i]) and after not in seen:
-                        seen.add(after)
-                        heapq.heappush(agenda, (total - cost[i][at[i]][0] + cost[i][after[i]][0], after))
-            buckets = np.zeros((len(steps), TABLES, HASHES), dtype=np.int64)
-            buckets[:, t] = base + np.array(steps)
-            out.append(np.unique(self.keys(buckets)[:, t]))
-        return out
-
-    def nearest(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """Per query the numbers of its ``k`` best vectors of the sample, other than itself."""
+    def index_keys(self, vectors: np.ndarray) -> np.ndarray:
+        """The key of each vector in each table."""
+        keys = self.keys(np.floor(self.places(vectors, False)).astype(np.int64))
+        keys[np.einsum("ij,ij->i", vectors, vectors) > self.norm**2] = OUTLYING
+        return keys
+
+    def agenda(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the perturbations in estimated success order, (rows, tables, perturbations), and the place of each in that order."""
+        inside = (places - np.floor(places))[..., None]
+        step = np.arange(-STEPS, STEPS + 1)
+        # reaching a step crosses this distance
+        cost = np.where(step > 0, step - inside, np.where(step < 0, inside - 1 - step, 0)) ** 2
+        total = np.zeros(places.shape[:2] + (2 * STEPS + 1,) * HASHES)
+        for i in range(HASHES):
+            total += cost[:, :, i].reshape(places.shape[:2] + (1,) * i + (-1,) + (1,) * (HASHES - 1 - i))
+        order = total.reshape(*places.shape[:2], -1).argsort(axis=-1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[-1]), order.shape), axis=-1)
+        return order, rank
+
+    def needed(self, places: np.ndarray, rank: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """How many visits a table each query needs to find these vectors of the sample, (rows, vectors); more than there are: never."""
+        moves = self.sample_buckets[which] - np.floor(places).astype(np.int64)[:, None]
+        reached = (np.abs(moves) <= STEPS).all(axis=-1)
+        at = np.where(reached, ((moves + STEPS) * _PLACE).sum(axis=-1), 0).transpose(0, 2, 1)
+        visits = np.where(reached, np.take_along_axis(rank, at, axis=2).transpose(0, 2, 1) + 1, len(_MOVES) + 1).min(axis=-1)
+        return np.where(self.sample_outlying[which], 0, visits)
+
+    def visits(self, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Per query the keys of the buckets that it visits, whether they reach ``TARGET``, and the share of the sample in them."""
+        places = self.places(queries, True)
+        order, rank = self.agenda(places)
+        probes = np.ones(len(queries), dtype=np.int64)
+        near, tied = self.nearest(queries, k)
+        if near.shape[1]:
+            found = np.sort(self.needed(places, rank, near), axis=1)
+            probes = np.maximum(found[:, int(np.ceil(TARGET * near.shape[1])) - 1], 1)
+        sure = (probes <= len(_MOVES)) & ~tied
+        own = self.index_keys(queries)  # where the query's own copies are
+        base = np.floor(places).astype(np.int64)
+        keys = []
+        for q in range(len(queries)):
+            moves = _MOVES[order[q, :, : probes[q] if sure[q] else 1]]
+            keys.append(np.unique(np.concatenate([self.keys(base[q : q + 1, :, None] + moves[None])[0].ravel(), own[q], [OUTLYING]])))
+        share = np.mean(self.needed(places, rank, np.broadcast_to(np.arange(0, len(self.sample), 8), (len(queries), -(-len(self.sample) // 8)))) <= probes[:, None], axis=1)
+        return keys, sure, share
+
+    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the numbers of its ``k`` best vectors of the sample, other than itself, and whether others tie with the last."""
         score = queries @ self.sample.T
-        m = min(k + 1, len(self.sample))
+        score[(queries[:, None, :1] == self.sample[None, :, :1])[..., 0] & (np.abs(score - np.einsum("ij,ij->i", queries, queries)[:, None]) < 1e-9)] = -np.inf
+        m = max(0, min(k, len(self.sample) - 1))
+        if not m:
+            return np.zeros((len(queries), 0), dtype=np.int64), np.zeros(len(queries), dtype=bool)
         best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-        out = []
-        for q, s, near in zip(queries, score, best):
-            near = near[np.argsort(-s[near], kind="stable")]
-            out.append(near[(self.sample[near] != q).any(axis=1)][:k])
-        return out
-
-    def hits(self, near: np.ndarray, visited: list[np.ndarray]) -> int:
-        """How many of these vectors of the sample are in visited buckets."""
-        hit = np.zeros(len(near), dtype=bool)
-        for t in range(TABLES):
-            hit |= np.isin(self.sample_keys[near, t], visited[t])
-        return int(hit.sum())
-
-
-def fitted(vectors: np.ndarray, largest_norm: float, k: int) -> Hashing:
-    """Hash functions and the number of visits that reach ``TARGET`` on the sample."""
-    hashing = Hashing(vectors, largest_norm)
-    queries = vectors[:: max(1, len(vectors) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    if len(vectors) < 2:
-        return hashing
-    best = hashing.nearest(queries, k)
-    places = hashing.places(queries, True)
-    while True:
-        found = sum(hashing.hits(near, hashing.visits(place)) for place, near in zip(places, best))
-        if found >= TARGET * sum(map(len, best)) or hashing.probes >= MOST_PROBES:
-            return hashing
-        hashing.probes = min(MOST_PROBES, max(hashing.probes + 1, hashing.probes * 3 // 2))
+        last = np.take_along_axis(score, best, axis=1).min(axis=1, keepdims=True)
+        return best, (score >= last - 1e-9 * np.abs(last)).sum(axis=1) > m
 
 
 def usable(vector: Column) -> Column:
@@ -165,6 +177,53 @@ def _best(query: np.ndarray, rep: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[rank < k], rep[rank < k], score[rank < k]
 
 
+def _top(asks: np.ndarray, q: np.ndarray, reps: np.ndarray, w: np.ndarray, mask: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of the vectors ``w`` for each of the queries ``q``, by exact scores; all that may tie with the last are compared."""
+    score = q @ w.T
+    if mask is not None:
+        score[~mask] = -np.inf
+    m = min(k, len(w))
+    least = np.partition(score, len(w) - m, axis=1)[:, len(w) - m]
+    room = 1e-9 * np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", w, w).max())
+    i, j = np.nonzero((score >= (least - room)[:, None]) & (score > -np.inf))
+    exact = np.zeros(len(i))
+    for a in range(0, len(i), PAIRS):
+        exact[a : a + PAIRS] = _exact(q[i[a : a + PAIRS]], w[j[a : a + PAIRS]])
+    return _best(asks[i], reps[j], exact, k)
+
+
+def _candidates(tables: list[tuple[np.ndarray, np.ndarray]], asked: list[np.ndarray]) -> np.ndarray:
+    """Which vectors are in a visited bucket of any table, (queries, vectors). ``tables``: the keys there, and which of them each vector has."""
+    mask = np.zeros((len(asked), len(tables[0][1])), dtype=bool)
+    who, what = np.repeat(np.arange(len(asked)), [len(a) for a in asked]), np.concatenate(asked)
+    for there, of in tables:
+        at = np.minimum(np.searchsorted(there, what), len(there) - 1)
+        hit = there[at] == what
+        visited = np.zeros((len(asked), len(there)), dtype=bool)
+        visited[who[hit], at[hit]] = True
+        mask |= visited[:, of]
+    return mask
+
+
+def _keyed_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Each block's vectors (0), then its queries (1) in bounded tables; blocks without vectors are left out."""
+    block, asking = None, False
+    for run in _keyed_runs(_bounded(batches), ["block", "asks", "piece"]):
+        number = run.column("block")[0].as_py()
+        if run.column("asks")[0].as_py() == 0:
+            block, asking = number, True
+            yield 0, run
+        elif asking and number == block:
+            yield 1, run
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with a column ``piece``: 0 for vectors, which stay together, and a new number for each batch of queries."""
+    for number, batch in enumerate(slices(batches, 4 * QUERY_BLOCK), 1):
+        piece = np.where(batch.column("asks").to_numpy() == 0, 0, number)
+        yield batch.append_column("piece", pa.array(piece))
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` rows nearest to each query row, other than itself.
 
@@ -186,62 +245,67 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     lengths = np.array([len(v) for v in sample.to_pylist()])
     dimension = int(np.bincount(lengths).argmax())
     entries = entries.where(F.size("v") == dimension)
-    chosen = np.array([v for v in sample.to_pylist() if len(v) == dimension], dtype=np.float64)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    largest, total = entries.agg(F.sqrt(F.max(squares)), F.count(F.lit(1))).first()
-    shared = spark.sparkContext.broadcast(fitted(chosen, largest, k))
+    hashing = Hashing(np.array([v for v in sample.to_pylist() if len(v) == dimension], dtype=np.float64))
+    total = entries.count()
+    blocks = max(BLOCKS, -(-total // BLOCK))
+    tested = hashing.sample[:SAMPLE_QUERIES]
+    dense = float(np.mean([hashing.visits(tested[a : a + 32], k)[2].mean() for a in range(0, len(tested), 32)])) > DENSE
+    shared = spark.sparkContext.broadcast(hashing)  # at most SAMPLE vectors
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             if batch.num_rows:
-                of = shared.value
-                keys = of.keys(np.floor(of.places(_matrix(batch.column("v")), False)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "v", "keys"])
+                keys = shared.value.index_keys(_matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "keys"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             if batch.num_rows:
-                of, v = shared.value, _matrix(batch.column("v"))
-                own = of.keys(np.floor(of.places(v, False)).astype(np.int64))  # where the query's own copies are
-                keys, sure = [], []
-                for at, place, near in zip(own, of.places(v, True), of.nearest(v, k)):
-                    visited = of.visits(place)
-                    keys.append(np.unique(np.concatenate([*visited, at])))
-                    sure.append(of.hits(near, visited) >= TARGET * len(near) - 1e-9)
+                keys, sure, _ = shared.value.visits(_matrix(batch.column("v")), k)
                 columns = [batch.column("rep"), batch.column("v"), pa.array(keys, pa.list_(pa.int64())), pa.array(sure)]
                 yield pa.RecordBatch.from_arrays(columns, names=["rep", "v", "keys", "sure"])
 
-    kind = "rep long, v array<double>, keys array<long>"
-    indexed = stored(entries.select("rep", "v").mapInArrow(index, kind), "index")
+    indexed = stored(entries.select("rep", "v").mapInArrow(index, "rep long, keys array<long>"), "index")
+    home = F.col("keys")[0].alias("home")
+    sizes = stored(indexed.groupBy(home).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "bucket-sizes")
+    part = F.pmod(F.xxhash64("rep"), "parts")
+    block = F.pmod(F.xxhash64("home", part), F.lit(blocks)).cast("int")
+    located = stored(indexed.withColumn("home", home).join(sizes, "home").select("rep", "keys", block.alias("block")), "located")
+
     asked = taking.where(is_query).select("vec_id", "v").distinct()
     # each distinct query vector is searched once
     question = asked.groupBy("v").agg(F.min("vec_id").alias("rep")).where(F.size("v") == dimension)
-    probing = stored(question.select("rep", "v").repartition(spread, "rep").mapInArrow(probe, f"{kind}, sure boolean"), "probes")
-
-    buckets = indexed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    chunks = stored(buckets.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
-    ours = indexed.select("rep", "v", F.explode("keys").alias("key")).join(chunks, "key")
-    ours = ours.select("key", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("asks"), "rep", "v")
-    theirs = probing.where("sure").select("rep", "v", F.explode("keys").alias("key")).join(chunks, "key")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    theirs = theirs.select("key", every.alias("chunk"), F.lit(1).alias("asks"), "rep", "v")
+    probing = question.select("rep", "v").repartition(spread, "rep").mapInArrow(probe, "rep long, v array<double>, keys array<long>, sure boolean")
+    probing = stored(probing, "probes")
+
+    ours = located.join(entries.select("rep", "v"), "rep").select("block", F.lit(0).alias("asks"), "rep", "v", "keys")
+    sure = probing.where("sure")
+    if dense:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        theirs = sure.select(every.alias("block"), F.lit(1).alias("asks"), "rep", "v", "keys")
+    else:
+        # (key, block) and (key, query) are pairs of numbers
+        where = located.select(F.explode("keys").alias("key"), "block").distinct()
+        met = sure.select("rep", F.explode("keys").alias("key")).join(where, "key").groupBy("rep", "block").agg(F.collect_set("key").alias("keys"))
+        theirs = met.join(sure.select("rep", "v"), "rep").select("block", F.lit(1).alias("asks"), "rep", "v", "keys")
     found_schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for run in _keyed_runs(batches, ["key", "chunk"]):
-            asks = run.column("asks").to_numpy()
-            n = int((asks == 0).sum())  # a chunk's vectors come before the queries that visit it
-            if n in (0, len(asks)):
+        for number, run in _keyed_parts(batches):
+            if number == 0:  # a block's vectors come before the queries that visit it
+                reps, w = run.column("rep").to_numpy(), _matrix(run.column("v").combine_chunks())
+                tables = [np.unique(c, return_inverse=True) for c in run.column("keys").combine_chunks().flatten().to_numpy().reshape(len(reps), -1).T]
                 continue
-            reps, v = run.column("rep").to_numpy(), _matrix(run.column("v").combine_chunks())
-            for a in range(n, len(asks), QUERY_BLOCK):
-                q = v[a : a + QUERY_BLOCK]
-                score = q @ v[:n].T
-                m = min(n, k + 5)  # a few more: exact sums may order near ties otherwise
-                top = np.argpartition(-score, m - 1, axis=1)[:, :m]
-                i, j = np.repeat(np.arange(len(q)), m), top.ravel()
-                held.append(_best(reps[a + i], reps[j], _exact(q[i], v[j]), k + 1))
+            asks, q = run.column("rep").to_numpy(), _matrix(run.column("v").combine_chunks())
+            asked_keys = run.column("keys").combine_chunks()
+            starts, flat = asked_keys.offsets.to_numpy(), asked_keys.values.to_numpy()
+            for a in range(0, len(asks), QUERY_BLOCK):
+                b = min(a + QUERY_BLOCK, len(asks))
+                mask = _candidates(tables, [flat[starts[i] : starts[i + 1]] for i in range(a, b)])
+                some = np.flatnonzero(mask.any(axis=0))
+                if len(some):
+                    held.append(_top(asks[a:b], q[a:b], reps[some], w[some], mask[:, some], k + 1))
             if sum(len(x[0]) for x in held) > HELD:
                 held = [_best(*map(np.concatenate, zip(*held)), k + 1)]
                 if len(held[0][0]) > HELD // 2:
@@ -251,44 +315,30 @@ def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             best = _best(*map(np.concatenate, zip(*held)), k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], schema=found_schema)
 
-    dealt = ours.unionByName(theirs).repartition(spread, "key", "chunk").sortWithinPartitions("key", "chunk", "asks")
+    dealt = ours.unionByName(theirs).repartition(blocks, "block").sortWithinPartitions("block", "asks")
     found = dealt.mapInArrow(rerank, "query long, rep long, score double").distinct()
     first = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     top = lambda rows: rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
     best = stored(top(found), "visited")
-    sizes = best.groupBy(F.col("query").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
+    counted = best.groupBy(F.col("query").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
     enough = F.col("sure") & (F.coalesce("n", F.lit(0)) >= min(k + 1, total))
-    missed = stored(probing.select("rep", "v", "sure").join(sizes, "rep", "left").where(~enough).select("rep", "v"), "missed")
+    missed = stored(probing.select("rep", "v", "sure").join(counted, "rep", "left").where(~enough).select("rep", "v"), "missed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts = None, []
-        for batch in slices(batches, QUERY_BLOCK):
-            of = batch.column("block").to_numpy()
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            for a, b in zip(starts, [*starts[1:], len(of)]):
-                if of[a] != block:
-                    block, parts = of[a], []
-                run = batch.slice(a, b - a)
-                reps, v = run.column("rep").to_numpy(), _matrix(run.column("v"))
-                n = int((run.column("asks").to_numpy() == 0).sum())  # a block's vectors come before the queries
-                if n:
-                    parts.append((reps[:n], v[:n]))
-                if n == len(reps) or not parts:
-                    continue
-                if len(parts) > 1:
-                    parts = [tuple(map(np.concatenate, zip(*parts)))]
-                theirs, w = parts[0]
-                q, m = v[n:], min(len(w), k + 5)
-                top_m = np.argpartition(-(q @ w.T), m - 1, axis=1)[:, :m]
-                i, j = np.repeat(np.arange(len(q)), m), top_m.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(reps[n + i], theirs[j], _exact(q[i], w[j]), k + 1)], schema=found_schema)
-
-    # every vector is in one block, and every missed query goes to each block
-    blocks = max(EXACT_BLOCKS, -(-total // EXACT_BLOCK))
-    held = entries.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "v")
+        for number, run in _keyed_parts(batches):
+            run_reps, run_v = run.column("rep").to_numpy(), _matrix(run.column("v").combine_chunks())
+            if number == 0:
+                reps, w = run_reps, run_v
+                continue
+            for a in range(0, len(run_reps), QUERY_BLOCK):
+                best = _top(run_reps[a : a + QUERY_BLOCK], run_v[a : a + QUERY_BLOCK], reps, w, None, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], schema=found_schema)
+
     if missed.isEmpty():
         whole = best
     else:
+        # every vector is in one block, and every missed query goes to each block
+        held = entries.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "v")
         asking = missed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "rep", "v")
         grid = held.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "asks")
         exact = top(grid.mapInArrow(compare, "query long, rep long, score double"))
