@@ -6,12 +6,13 @@ complementary parts co-occur in their scope: a weak identifier needs a secret, a
 endpoint both. A part's scope is the text up to ``REACH`` code points before its start and after its end; parts
 that reach into it are joined with it, wherever in the text they are. That interval join sorts the row's parts by
 their starts and compares each with the furthest end before it and the nearest start after it, so nothing is
-shuffled and no pairs are made.
+shuffled and no pairs are made; the nearer of the two is its link, that before it if they are as near. Shifting a text shifts spans and links alike.
 
 A pattern's places come from ``split`` and ``regexp_extract_all``, which find the same matches: the lengths of the
 parts between and of the matches, summed up (as are the ends and starts) in blocks so that the work stays linear in the number of matches.
 
-Nulls count as empty texts, without spans. Equal rows give equal rows. An empty table gives an empty table.
+Nulls count as empty texts, without spans. Equal rows give equal rows. Columns of ``docs`` keep their names and values. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 #: The most code points between two parts that belong together.
 REACH = 1_024
-_FAR = 1 << 60
+_FAR, _NUMBERS = 1 << 62, 1 << 31
 _BLOCK = 256  # matches summed together
+_CHUNK = 1_024
 
 #: Kinds in the order in which they are listed: (pattern, capture group to measure, its least length).
 #: For access and hex the least length is part of the pattern: their runs are maximal, so the matches are the same.
@@ -79,8 +81,12 @@ def _located(rows: DataFrame, kind: str, pattern: str, group: int, least: int) -
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``all_spans``: sorted arrays of (start, number of the kind, end); starts and ends in code points."""
-    rows = docs.withColumn("content", F.coalesce("text", F.lit("")))
+    """``row`` (all of ``docs``), ``text``, and ``base``, ``all_spans`` and ``links``.
+
+    Spans are sorted arrays of (start, number of the kind, end), in code points; links of (weak part, its partner), both spans.
+    """
+    rows = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))  # within a struct, no name can clash
+    rows = rows.withColumn("content", F.coalesce("text", F.lit("")))
     for kind, (pattern, group, least) in (STRONG | WEAK).items():
         rows = _located(rows, kind, pattern, group, least)
     tagged = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), s["end"].alias("end")))
@@ -89,22 +95,31 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_parts", F.when(F.size("_weak") > 0, F.array_sort(F.concat("base", "_weak"))))
     is_of = lambda s, role: s["kind"].isin(*[KINDS.index(k) for k in KINDS if ROLES[k] == role])
     for role in ("identifier", "secret"):
-        ends = F.transform("_parts", lambda s: F.when(is_of(s, role), s["end"]).otherwise(F.lit(-_FAR)))  # noqa: B023
-        starts = F.transform(F.reverse("_parts"), lambda s: F.when(is_of(s, role), s["start"]).otherwise(F.lit(_FAR)))  # noqa: B023
+        # a place and the number of its part in one number, so that the running extremes know the part
+        ends = F.transform("_parts", lambda s, i: F.when(is_of(s, role), s["end"] * _NUMBERS + i).otherwise(F.lit(-_FAR)))  # noqa: B023
+        starts = F.transform(F.reverse("_parts"), lambda s, i: F.when(is_of(s, role), s["start"] * _NUMBERS + F.size("_parts") - 1 - i).otherwise(F.lit(_FAR)))  # noqa: B023
         rows = rows.withColumn("_ends", ends).withColumn("_starts", starts)
         rows = rows.withColumn("_ends", _running(F.col("_ends"), F.greatest, -_FAR))
         rows = rows.withColumn("_starts", F.reverse(_running(F.col("_starts"), F.least, _FAR)))
-        after = F.zip_with("_parts", "_ends", lambda s, e: s["start"] - e <= REACH)
-        before = F.zip_with("_parts", "_starts", lambda s, a: a - s["end"] <= REACH)
-        rows = rows.withColumn(f"_{role}", F.zip_with(after, before, lambda a, b: a | b))
+        place = lambda x: F.shiftright(x, 31)
+        before = F.zip_with("_parts", "_ends", lambda s, e: F.struct(F.greatest(s["start"] - place(e), F.lit(0)).alias("far"), F.pmod(e, F.lit(_NUMBERS)).alias("part")))
+        after = F.zip_with("_parts", "_starts", lambda s, a: F.struct(F.greatest(place(a) - s["end"], F.lit(0)).alias("far"), F.pmod(a, F.lit(_NUMBERS)).alias("part")))
+        nearer = F.zip_with(before, after, lambda b, a: F.when(b["far"] <= a["far"], b).otherwise(a))
+        near = F.transform(nearer, lambda x: F.when(x["far"] <= REACH, F.get("_parts", x["part"].cast("int"))))
+        rows = rows.withColumn(f"_{role}", near)
     either = F.zip_with("_identifier", "_secret", lambda i, s: F.struct(i.alias("identifier"), s.alias("secret")))
     joined = F.zip_with("_parts", either, lambda s, near: F.struct(s.alias("part"), near.alias("near")))
     linked = lambda x: _all(
-        (x["part"]["kind"] != KINDS.index(k)) | _all(x["near"][role] for role in NEEDS[k]) for k in WEAK
+        (x["part"]["kind"] != KINDS.index(k)) | _all(x["near"][role].isNotNull() for role in NEEDS[k]) for k in WEAK
     )
-    kept = F.transform(F.filter(joined, linked), lambda x: x["part"])
-    rows = rows.withColumn("all_spans", F.when(F.size("_weak") > 0, kept).otherwise(F.col("base")))
-    return rows.drop("content", "_weak", "_parts", "_ends", "_starts", "_identifier", "_secret", *WEAK)
+    rows = rows.withColumn("_kept", F.when(F.size("_weak") > 0, F.filter(joined, linked)))
+    rows = rows.withColumn("all_spans", F.coalesce(F.transform("_kept", lambda x: x["part"]), F.col("base")))
+    partners = lambda x: F.array(*[
+        F.when(x["part"]["kind"] == KINDS.index(k), F.struct(x["part"].alias("part"), x["near"][role].alias("partner"))) for k in WEAK for role in NEEDS[k]
+    ])
+    links = F.filter(F.flatten(F.transform("_kept", partners)), lambda x: x.isNotNull())
+    rows = rows.withColumn("links", F.coalesce(links, F.array()))
+    return rows.select("row", "text", "base", "all_spans", "links")
 
 
 def _all(conditions) -> Column:
@@ -114,36 +129,50 @@ def _all(conditions) -> Column:
     return out
 
 
+def _named(s: Column) -> Column:
+    return F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), s["start"], s["end"])
+
+
 def listed(column: str) -> Column:
     """``kind:start:end`` of the spans, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    return F.array_join(F.transform(column, _named), ",")
 
 
 def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; texts without spans and nulls stay as they are.
 
-    Overlapping spans are replaced together.
+    Overlapping spans are replaced together. The text is cut once into chunks of ``_CHUNK`` code points, and what is kept is
+    put together from them, so the work stays linear in the text and its spans.
     """
-    rows = spans(docs.select(F.struct("*").alias("row"), "text"))  # within a struct, no name can clash
+    rows = spans(docs)
+    found = F.size("all_spans") > 0
     # spans are sorted by start: keep the text from the furthest end so far up to each start
-    step = lambda held, s: F.struct(
-        F.greatest(held["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= held["at"], F.concat(held["parts"], F.array(F.struct(held["at"].alias("a"), s["start"].alias("b"))))).otherwise(held["parts"]).alias("parts"),
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("parts"))
-    kept = F.aggregate("all_spans", start, step)
-    rows = rows.withColumn("_kept", F.when(F.size("all_spans") > 0, kept))
-    piece = lambda p: F.substring(F.col("text"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))
-    tail = F.substring(F.col("text"), (F.col("_kept.at") + 1).cast("int"), F.length("text"))
-    text = F.concat(F.array_join(F.transform("_kept.parts", piece), mark), F.lit(mark), tail)
-    text = F.when(F.size("all_spans") > 0, text).otherwise(F.col("text"))
+    ends = F.transform("all_spans", lambda s: s["end"].cast("bigint"))
+    rows = rows.withColumn("_ends", F.when(found, _running(ends, F.greatest)))
+    kept = F.zip_with("_ends", "all_spans", lambda e, s: F.struct(e.alias("a"), s["start"].alias("b")))
+    rows = rows.withColumn("_pieces", F.filter(kept, lambda p: p["a"] <= p["b"]))
+    rows = rows.withColumn("_chunks", F.when(found, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    rows = rows.withColumn("_tail", F.struct(F.array_max(ends).alias("a"), F.length("text").cast("bigint").alias("b")))
+
+    def piece(p: Column) -> Column:
+        first, last = F.floor(p["a"] / _CHUNK).cast("int"), F.floor((p["b"] - 1) / _CHUNK).cast("int")
+
+        def part(i: Column) -> Column:
+            low = F.greatest(p["a"] - i * _CHUNK, F.lit(0))
+            return F.substring(F.get("_chunks", i), (low + 1).cast("int"), (p["b"] - i * _CHUNK - low).cast("int"))
+
+        return F.when(p["a"] < p["b"], F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), "")).otherwise("")
+
+    text = F.concat(F.array_join(F.transform("_pieces", piece), mark), F.lit(mark), piece(F.col("_tail")))
+    text = F.when(found, text).otherwise(F.col("text"))
     return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    found = spans(docs.select("doc_id", "text"))
-    return found.select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in STRONG],
-        F.sha2(listed("base"), 256).alias("base_sha256"), listed("all_spans").alias("spans"),
+    """Counts and digest of the strong spans, all ``spans``, and ``links``: each weak part and its partner, ``part>partner``, comma-joined."""
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k)))
+    links = F.array_join(F.transform("links", lambda x: F.concat(_named(x["part"]), F.lit(">"), _named(x["partner"]))), ",")
+    return spans(docs.select("doc_id", "text")).select(
+        F.col("row.doc_id").alias("doc_id"), *[count(k).cast("long").alias(f"n_{k}") for k in STRONG],
+        F.sha2(listed("base"), 256).alias("base_sha256"), listed("all_spans").alias("spans"), links.alias("links"),
     )

@@ -41,3 +41,32 @@ def test_links_are_those_of_all_pairs(spark):
     texts = ["".join(str(rng.choice(x)) for _ in range(int(rng.integers(1, 14))) for x in (parts, filler)) for _ in range(150)]
     texts += ["".join(str(rng.choice(x)) for _ in range(400) for x in (parts[:6], filler)), "", "nothing"]
     assert spans(spark, texts) == [brute(t) for t in texts]
+
+
+def test_links_name_the_nearest_partner_and_move_with_the_text(spark):
+    body = "login=ann x password=hunter2hunter2 https://db.example.com/x AKIAABCDEFGHIJKL12"
+    rows = spark.createDataFrame([(n, "é" * n + "\n" + body, 1, "x") for n in (0, 1, 200, 255, 256, 1023, 1025)], "doc_id long, text string, links int, all_spans string")
+    for r in links.digests(rows).collect():
+        n = r["doc_id"] + 1
+        back = re.sub(r"\d+", lambda m: str(int(m[0]) - n), r["links"])
+        assert back == "account:0:9>assign:12:35,endpoint:36:60>access:61:79,endpoint:36:60>assign:12:35"
+    hidden = links.masked(rows)
+    assert hidden.columns == rows.columns
+    assert {r["text"] for r in hidden.collect()} == {"é" * r["doc_id"] + "\n[secret] x [secret] [secret] [secret]" for r in rows.collect()}
+
+
+def test_masking_is_that_of_all_spans(spark):
+    rng = np.random.default_rng(1)
+    parts = ["user=bob", "password=hunter2hunter2", "token=AKIAABCDEFGHIJKL12", "AKIAABCDEFGHIJKL12", "aB3" * 13 + "c", "0123456789abcdef" * 90, "ü日😀 "]
+    filler = ["", " ", "\n" * 3, "x " * 600, "é" * 1024 + " "]
+    texts = ["".join(str(rng.choice(x)) for _ in range(int(rng.integers(0, 20))) for x in (parts, filler)) for _ in range(120)]
+    texts.append("".join(str(rng.choice(x)) for _ in range(5000) for x in (parts, filler)))  # MBs, thousands of spans
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in links.masked(rows).collect()}
+    for n, listed in enumerate(spans(spark, texts)):
+        out, at = [], 0
+        for _, a, b in (x.split(":") for x in listed.split(",") if x):
+            if int(a) >= at:
+                out += [texts[n][at : int(a)], "[secret]"]
+            at = max(at, int(b))
+        assert got[n] == "".join(out) + texts[n][at:]
