@@ -3,14 +3,15 @@
 Format: for each part three files of little-endian integers. ``ids``: the ids of its documents one after
 another, unsigned 16-bit where the vocabulary allows it, else unsigned 32-bit. ``offsets``: one 64-bit
 number more than there are documents; document ``i`` has the ids from ``offsets[i]`` up to
-``offsets[i + 1]``. ``docs``: 64-bit document ids. Parts are in ascending order of document ids. A manifest
-row per part gives its files; a part's base, the number of ids before it, is a prefix sum over the manifest.
+``offsets[i + 1]``. ``docs``: 64-bit document ids. Parts are in ascending order of document ids and hold about ``PART_BYTES``
+of text. A manifest row per part gives its files and how many of its documents, the first ones, have no id; a part's base, the number
+of ids before it, is a prefix sum over the manifest. A reader maps local files and reads others range by range.
 
 Each attempt of a task writes files of its own name and the manifest names only those of the attempt that
 succeeded, so lost executors leave no mixed or doubled parts.
 
-Nulls count as empty texts; an empty text has the end id only. A null document id is stored as the smallest
-64-bit number and comes first. Rows with equal document ids are all written, in the order of their texts.
+Nulls count as empty texts; an empty text has the end id only. A null document id is stored as 0 and comes first.
+Rows with equal document ids are all written, in the order of a hash of their texts, over as many parts as their bytes need.
 An empty table gives no parts. Other columns of the input are not read.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +29,21 @@ from pyspark.sql import functions as F
 
 from abacist.llm.workspace import fresh_path, slices, stored, tidied
 
-NULL_ID = -(2**63)
-MANIFEST = "part int, n_docs long, n_tokens long, width int, ids string, offsets string, docs string"
+MANIFEST = "part int, n_docs long, n_null long, n_tokens long, width int, ids string, offsets string, docs string"
+#: Bytes of text for a part, and documents read at once.
+PART_BYTES, READ_DOCS = 256 << 20, 1_024
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Encode ``text`` and write the files; returns the manifest with each part's ``base``.
 
     ``folder`` is a URI that pyarrow's file systems can write (file, hdfs, s3, gs); by default a new one in
-    the shared folder. The number of parts is ``spark.sql.shuffle.partitions``.
+    the shared folder. There are ``spark.sql.shuffle.partitions`` parts, or more where ``PART_BYTES`` asks for them.
     """
     spark = docs.sparkSession
     folder = (folder or fresh_path(spark, "token-files")).rstrip("/")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -50,7 +53,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         bpe, files = encoder(tokenizer), None
         width = 2 if max(bpe.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype="<u4").tobytes()
-        total, count = 0, 0
+        total, count, n_null = 0, 0, 0
         for batch in slices(batches, 4096):
             if not batch.num_rows:
                 continue
@@ -69,34 +72,36 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
                 ends = total + np.cumsum([len(x) // 4 for x in encoded])
                 files[1].write(ends.astype("<i8").tobytes())
                 total, count = int(ends[-1]), count + len(encoded)
-            ids = batch.column("doc_id").fill_null(NULL_ID)
+            n_null += batch.column("doc_id").null_count
+            ids = batch.column("doc_id").fill_null(0)
             files[2].write(ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
         if files:
             for f in files:
                 f.close()
-            row = {"part": TaskContext.get().partitionId(), "n_docs": count, "n_tokens": total, "width": width}
+            row = {"part": TaskContext.get().partitionId(), "n_docs": count, "n_null": n_null, "n_tokens": total, "width": width}
             row |= dict(zip(("ids", "offsets", "docs"), (f"{folder}/{n}" for n in names)))
-            schema = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()),
+            schema = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()),
                                 ("ids", pa.string()), ("offsets", pa.string()), ("docs", pa.string())])
             yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash and the row number let a range end within rows of one id, or equal rows
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"], F.xxhash64(docs["text"]).alias("h"), F.monotonically_increasing_id().alias("n"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "text")
     manifest = stored(ordered.mapInArrow(lambda x: tidied(write_part(x)), MANIFEST), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, not per document
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def opened(uri: str) -> np.ndarray:
-    """The bytes of one file: memory-mapped where it is local, read otherwise."""
+def opened(uri: str) -> Callable[[int, int], bytes]:
+    """Bytes of one file from one place to another: memory-mapped where it is local, read from the store otherwise."""
     store, path = pyarrow.fs.FileSystem.from_uri(uri)
-    info = store.get_file_info(path)
-    if not info.size:
-        return np.zeros(0, dtype="u1")
+    if not store.get_file_info(path).size:
+        return lambda start, end: b""
     if isinstance(store, pyarrow.fs.LocalFileSystem):
-        return np.memmap(path, dtype="u1", mode="r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype="u1")
+        mapped = np.memmap(path, dtype="u1", mode="r")
+        return lambda start, end: mapped[start:end].tobytes()
+    file = store.open_input_file(path)
+    return lambda start, end: file.read_at(end - start, start)
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -106,13 +111,14 @@ def read(manifest: DataFrame) -> DataFrame:
     def read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                ids = opened(part["ids"]).view(f"<u{part['width']}")
-                offsets, docs = opened(part["offsets"]).view("<i8"), opened(part["docs"]).view("<i8")
-                for a in range(0, part["n_docs"], 4096):
-                    at = offsets[a : a + 4097]
-                    of = np.array(docs[a : a + 4096])
-                    sums = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                    columns = [pa.array(of, mask=of == NULL_ID), pa.array(part["base"] + at[:-1]), pa.array(np.diff(at))]
+                ids, offsets, docs = (opened(part[kind]) for kind in ("ids", "offsets", "docs"))
+                width = part["width"]
+                for a in range(0, part["n_docs"], READ_DOCS):
+                    b = min(a + READ_DOCS, part["n_docs"])
+                    at = np.frombuffer(offsets(8 * a, 8 * b + 8), dtype="<i8")
+                    of = np.frombuffer(docs(8 * a, 8 * b), dtype="<i8")
+                    sums = [zlib.crc32(np.frombuffer(ids(width * i, width * j), dtype=f"<u{width}").astype("<u4").tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+                    columns = [pa.array(of, mask=np.arange(a, b) < part["n_null"]), pa.array(part["base"] + at[:-1]), pa.array(np.diff(at))]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, type=pa.int64())], schema=schema)
 
     spread = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
