@@ -3,11 +3,11 @@
 A bundle is a file of independent Zstandard frames, each with some whole records, and the seek table of the
 public seekable format in a skippable frame at its end: compressed and decompressed size of every frame. A
 reader of any frame needs the table and that frame only. The record index maps record identifiers to a frame
-and the offset in the decompressed frame.
+and the offset in the decompressed frame. Reading deals the index by bundle and runs of ``READ_FRAMES`` frames.
 
 A payload that occurs more than once is stored once, in a ``response`` record of the row with the smallest
-id; the others are ``revisit`` records that name it. Payloads are matched by their SHA-1 digest and length.
-Only digests are shuffled: those that repeat are written as a table, which Spark broadcasts if it is small
+id; the others are ``revisit`` records that name it. Payloads are matched by their SHA-1 digest, their length and a second
+hash, which also tells made-up SHA-1 collisions apart. Only these are shuffled: those that repeat are written as a table, which Spark broadcasts if it is small
 and joins by a shuffle otherwise.
 
 Null payloads count as empty. A null id comes after all others, as revisit if the payload has a row with an
@@ -33,9 +33,12 @@ from abacist.llm.workspace import as_bytes, fresh_path, slices, stored
 
 #: Decompressed bytes after which a frame is closed, and frames after which a bundle is closed.
 FRAME_BYTES, BUNDLE_FRAMES = 1 << 20, 512
+#: Frames that one task reads one after another.
+READ_FRAMES = 16
 SEEKABLE_MAGIC, SKIPPABLE_MAGIC = 0x8F92EAB1, 0x184D2A5E
 WARC_DATE = "1970-01-01T00:00:00Z"
 
+KEY = ["digest", "n_bytes", "second"]
 INDEX = "page_id long, record_id string, bundle string, frame int, offset long, size long"
 
 
@@ -130,10 +133,8 @@ class BundleReader:
 
 
 def firsts(pages: DataFrame) -> DataFrame:
-    """``digest`` (hex), ``n_bytes`` and ``first`` id of the payloads that several rows have, stored."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n_bytes"))
-    repeated = keyed.groupBy("digest", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+    """``KEY`` and ``first`` id of the payloads that several rows have, stored. ``pages`` has the ``KEY``."""
+    repeated = pages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
     return stored(repeated.where("n > 1").drop("n"), "repeated-payloads")
 
 
@@ -148,8 +149,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         store = path = writer = name = None
         for batch in slices(batches, 1024):
             rows = []
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url")]
-            for page, url, html, repeats, first in zip(*columns, as_bytes(batch.column("html")), *(batch.column(c).to_pylist() for c in ("repeats", "first"))):
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "repeats", "first")]
+            for page, url, sha1, repeats, first, html in zip(*columns, as_bytes(batch.column("html"))):
                 if writer is None:
                     if store is None:
                         store, path = pyarrow.fs.FileSystem.from_uri(folder)
@@ -157,7 +158,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     writer = BundleWriter(store.open_output_stream(f"{path}/{name}", compression=None))
                 payload = html or b""
-                digest = base32_sha1(payload)
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 rec = record(page, url, payload, digest, first, bool(repeats) and first is not None and page != first)
                 rows.append((page, record_id(page, digest), f"{folder}/{name}", *writer.add(rec), len(rec)))
                 if len(writer.sizes) >= BUNDLE_FRAMES:
@@ -170,9 +171,9 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    keyed = rows.withColumn("digest", F.sha1(payload)).withColumn("n_bytes", F.octet_length(payload))
-    joined = keyed.join(firsts(rows).withColumn("repeats", F.lit(True)), ["digest", "n_bytes"], "left")
-    return stored(joined.select("page_id", "url", "html", "repeats", "first").mapInArrow(write_records, INDEX), "warc-index")
+    keyed = rows.withColumns({"digest": F.sha1(payload), "n_bytes": F.octet_length(payload), "second": F.xxhash64(payload)})
+    joined = keyed.join(firsts(keyed).withColumn("repeats", F.lit(True)), KEY, "left")
+    return stored(joined.select("page_id", "url", "html", "digest", "repeats", "first").mapInArrow(write_records, INDEX), "warc-index")
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -205,4 +206,6 @@ def read(index: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return index.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read_records, out)
+    spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(spread, "bundle", F.floor(F.col("frame") / READ_FRAMES))
+    return dealt.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read_records, out)
