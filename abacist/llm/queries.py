@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abacist.llm.url_reputation import DOUBLE_SUFFIXES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -134,18 +136,23 @@ ORACLE_SQL: dict[str, str] = {
         WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
              p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-             h AS (SELECT host, split_part(host, '.', -2) || CASE WHEN contains(host, '.') THEN '.' ELSE '' END || split_part(host, '.', -1) AS domain,
-                          split_part(host, '.', -1) AS suffix, count(quality * (1 - toxic)) AS n,
+             x AS (SELECT *, string_split(host, '.') AS l, array_to_string(l[-2:], '.') IN {DOUBLE_SUFFIXES} AS two FROM p),
+             h AS (SELECT host, array_to_string(CASE WHEN two THEN x.l[-3:] ELSE x.l[-2:] END, '.') AS domain,
+                          array_to_string(CASE WHEN two THEN x.l[-2:] ELSE x.l[-1:] END, '.') AS suffix, count(quality * (1 - toxic)) AS n,
                           coalesce(sum(quality * (1 - toxic)), 0) AS k
-                   FROM p LEFT JOIN labels l ON l.doc_id = p.page_id GROUP BY 1, 2, 3),
+                   FROM x LEFT JOIN labels l ON l.doc_id = x.page_id GROUP BY 1, 2, 3),
              d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
              s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
              g AS (SELECT (sum(k) + 1) / (sum(n) + 2)::double AS r FROM s),
              ms AS ({_moments("s", "")}), md AS ({_moments("d", "GROUP BY suffix")}), mh AS ({_moments("h", "GROUP BY suffix, domain")}),
              sr AS (SELECT suffix, (k + m * r) / (n + m) AS r FROM s, ms, g),
              dr AS (SELECT domain, suffix, (k + m * r) / (n + m) AS r FROM d JOIN sr USING (suffix), md),
-             hr AS (SELECT host, (h.k + m * r) / (h.n + m) AS rate, h.n + m + 1 AS weight FROM h JOIN dr USING (domain, suffix), mh),
-             hb AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / weight) AS bound FROM hr),
+             hr AS (SELECT host, (h.k + m * r) / (h.n + m) AS rate, h.n + m AS weight FROM h JOIN dr USING (domain, suffix), mh),
+             ab AS (SELECT host, rate, rate * weight AS a, (1 - rate) * weight AS b, ln(rate / (1 - rate)) AS mode FROM hr),
+             cells AS (SELECT *, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) / 16 AS h, mode + (i - 192) * h AS t FROM ab, range(0, 385) r(i)),
+             dens AS (SELECT *, exp(a * (t - mode) - (a + b) * (greatest(t, 0) + ln(1 + exp(-abs(t))) - greatest(mode, 0) - ln(1 + exp(-abs(mode))))) AS w FROM cells),
+             upto AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY i) AS upto, 0.05 * sum(w) OVER (PARTITION BY host) AS below FROM dens),
+             hb AS (SELECT host, rate, 1 / (1 + exp(-arg_min(t - h / 2 + h * (below - upto + w) / w, i))) AS bound FROM upto WHERE upto >= below GROUP BY ALL),
              r(what, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                                            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
              f AS (SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(what, length(rule_host || rule_path)) AS what
