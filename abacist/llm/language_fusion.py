@@ -1,19 +1,21 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 * Text: a naive Bayes model over hashed byte trigrams, fitted to a bounded sample of each label's rows, so that every
-  label has a class, however rare it is and however many there are. Its log likelihoods are tempered,
+  label has a class, however rare it is and however many there are. Rows are in two folds by their text, and each fold is judged by
+  the model of the other, so no row, nor a copy of it, is judged by its own label. Log likelihoods are tempered,
   since neighbouring trigrams aren't independent. A uniform model stands for text in no language (``und``).
-* Declared language (markup or metadata): how often each declaration goes with each text language, counted over all rows.
+* Declared language (markup or metadata): how often each declaration goes with each text language, counted over all other rows.
 * Address suffix and host: priors by grouped aggregation of all rows' text posteriors, the host's shrunk to its
   suffix's, the suffix's to that of all rows; a row's own part is taken out of its priors.
 
 Posterior = text likelihood x declaration likelihood x host prior. A row is kept if its best language isn't ``und`` and has
 a posterior of at least ``LEAST``. Texts are read once for the scores; everything after works on narrow rows.
-Sums are of whole millionths, so they don't depend on the order of rows.
+Sums are of whole millionths, so they don't depend on the order of rows. ``declared_in`` and ``address`` take declaration, suffix and host
+from a page's markup and address.
 
 Null texts count as empty; texts under three bytes have no text evidence and are rejected as ``und``. Null declarations and
-hosts give no evidence beyond the prior. Equal rows give equal rows. Without any labelled row all rows are
-``und``. An empty table gives an empty table. Other columns are not read.
+hosts give no evidence beyond the prior. Equal rows give equal rows. A label whose rows are all in one fold has no counts for that
+fold. Without any labelled row all rows are ``und``. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from abacist.llm.url_reputation import DOUBLE_SUFFIXES, host_and_path, site
 from abacist.llm.workspace import as_bytes, slices, stored, tidied
 
-#: The classifier's sample: at most so many different rows of each label, those with the smallest hashes.
-SAMPLE_ROWS = 2_000
+#: The classifier's sample: at most so many different rows of each label and fold, those with the smallest hashes.
+SAMPLE_ROWS, FOLDS = 2_000, 2
 #: Languages counted at once in a task; up to so many, the model is a dense table.
 HELD, DENSE = 64, 64
 BUCKETS = 1 << 16
@@ -102,10 +104,16 @@ class TextModel:
         return np.maximum(nats - nats.max(), -MOST).tolist()
 
 
-def fit(docs: DataFrame, label: str = "lang") -> TextModel:
-    """Fit to at most ``SAMPLE_ROWS`` different rows of each label, all of whose text is read."""
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def fit(docs: DataFrame, label: str = "lang") -> list[TextModel]:
+    """For each fold the model of the other: at most ``SAMPLE_ROWS`` different rows of each label, all of whose text is read."""
     mixed = F.xxhash64("doc_id", "text", F.lit("language sample")).alias("h")
-    named = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("lang"), "text", mixed)
+    rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
+    key = F.concat(fold_of(F.col("text")).cast("string"), F.col(label).cast("string"))  # the fold's digit, then the label
+    named = rows.select(key.alias("lang"), "text", mixed)
     hashes = stored(named.select("lang", "h").distinct(), "label-hashes")
     # hashes are even: a label's first rows are below twice their share of the range, so no task meets all rows of a label
     sizes = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -131,11 +139,32 @@ def fit(docs: DataFrame, label: str = "lang") -> TextModel:
 
     sample = named.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["lang", "h"]).select("lang", "text")
     summed = stored(sample.mapInArrow(lambda x: tidied(count(x)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    # a number for each language and bucket seen in it: at most SAMPLE_ROWS rows of each label, whatever the corpus
+    # a number for each language and bucket seen in it: at most SAMPLE_ROWS rows of each label and fold, whatever the corpus
     table = summed.toArrow()
-    languages = sorted(r["lang"] for r in last.select("lang").collect())
-    of = pa.compute.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
-    return TextModel(languages, of.astype(np.int64), table.column("bucket").to_numpy(), table.column("n").to_numpy())
+    languages = sorted({r["lang"][1:] for r in last.select("lang").collect()})
+    keys = table.column("lang").to_pylist()
+    fold = np.array([int(k[0]) for k in keys], dtype=np.int64)
+    number = {k: i for i, k in enumerate(languages)}
+    of = np.array([number[k[1:]] for k in keys], dtype=np.int64)
+    bucket, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
+    return [TextModel(languages, of[fold != f], bucket[fold != f], n[fold != f]) for f in range(FOLDS)]
+
+
+def declared_in(html: Column) -> Column:
+    """The primary subtag of the language that a page's root element declares, lower-cased; null without one."""
+    found = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})(?![a-z])""", 1)
+    return F.when(found != "", F.lower(found))
+
+
+def address(url: Column) -> tuple[Column, Column]:
+    """Suffix and host of a page's address; empty where it has none."""
+    host, _ = host_and_path(url)
+    return site(host, DOUBLE_SUFFIXES)[1], host
+
+
+def visible(html: Column) -> Column:
+    """A page's text without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
 
 
 def _counts(lang: str, counts: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -184,9 +213,9 @@ def fused(scores: np.ndarray, own: np.ndarray, whole: np.ndarray, suffix: np.nda
     return softmax(scores + np.log(np.maximum(prior, 1e-12)) + np.log(likely))
 
 
-def identify(docs: DataFrame, model: TextModel, declared: Column, suffix: Column, host: Column) -> DataFrame:
+def identify(docs: DataFrame, model: list[TextModel], declared: Column, suffix: Column, host: Column) -> DataFrame:
     """``doc_id, text_key, lang, posterior, kept`` of every row. ``text_key`` tells rows of one id apart."""
-    names = model.languages
+    names = model[0].languages
     n = len(names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # up to DENSE languages a table of 17 MB, beyond that 8 bytes per language and bucket seen
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("declared", pa.string()), ("suffix", pa.string()),
@@ -195,7 +224,8 @@ def identify(docs: DataFrame, model: TextModel, declared: Column, suffix: Column
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in slices(batches, 2048):
-            scores = [of.scores(t) for t in as_bytes(batch.column("text"))]
+            folds = batch.column("text_key").to_numpy() % FOLDS
+            scores = [of[f].scores(t) for f, t in zip(folds, as_bytes(batch.column("text")))]
             parts = [None if s is None else np.rint(softmax(np.array([s]))[0] * UNIT).astype(np.int64) for s in scores]
             kept = [batch.column(f.name) for f in list(schema)[:5]]
             columns = [pa.array(scores, pa.list_(pa.float64())), pa.array(parts, pa.list_(pa.int64()))]

@@ -51,6 +51,17 @@ def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_fusion.identify(docs, model, F.col("lang"), F.lit(""), F.col("source")).drop("text_key")
 
 
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: declared language from the markup, suffix and host from the address, text models of the documents."""
+    from abacist.llm import language_fusion
+
+    model = language_fusion.fit(table(spark, sf_dir, "documents"))
+    suffix, host = language_fusion.address(F.col("url"))
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select(F.col("page_id").alias("doc_id"), language_fusion.visible(F.col("html")).alias("text"), "url", language_fusion.declared_in(F.col("html")).alias("declared"))
+    return language_fusion.identify(rows, model, F.col("declared"), suffix, host).drop("text_key").withColumnRenamed("doc_id", "page_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import token_files
 
@@ -102,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_language_fusion": op3_language_fusion,
+    "pages_language": pages_language,
     "op4_token_files": op4_token_files,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_credential_links": op6_credential_links,

@@ -87,7 +87,7 @@ def test_language(spark):
     left = language_fusion.filtered(docs, judged)
     assert left.columns == docs.columns and left.count() == len(rows) - 3
     nothing = language_fusion.fit(docs.limit(0))
-    assert nothing.languages == ["und"] and language_fusion.identify(docs.limit(0), nothing, F.col("lang"), F.lit(""), F.col("source")).count() == 0
+    assert nothing[0].languages == ["und"] and language_fusion.identify(docs.limit(0), nothing, F.col("lang"), F.lit(""), F.col("source")).count() == 0
     assert language_fusion.identify(docs, nothing, F.col("lang"), F.lit(""), F.col("source")).where("kept").count() == 0
 
 
