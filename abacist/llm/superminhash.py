@@ -8,11 +8,13 @@ of the layers so far, no later layer can lower it.
 
 1. Texts with equal sets become one representative; only representatives go on.
 2. Signatures are banded; representatives that share a band and agree in enough places of the signature
-   (four deviations below the threshold) are linked loosely. Members of one band's bucket are compared inside
+   (six deviations below the threshold) are linked loosely. Members of one band's bucket are compared inside
    a task, in blocks, and only a spanning forest of the loose links leaves it.
-3. Loose links are united. Each loose family is split into blocks of bounded size, and all pairs of blocks are
-   verified: the whole texts' sets are intersected through an inverted index, and again only a spanning forest of the
-   true links leaves the task. So no row per pair exists, and no link between different texts of a family is lost.
+3. Loose links are united. Each loose family is verified on whole texts' sets through an inverted index, and again only
+   a spanning forest of the true links leaves a task, so no row per pair exists and no link between different texts of a family
+   is lost. A family beyond one block is verified block by block first, each block with the family's smallest member; then the texts
+   outside the family's largest component so far, in blocks, with all the others. Near copies of one text so cost a
+   family no more than its size, and only texts that are apart are sent to several tasks.
 4. True links are united and the components are carried to all texts.
 
 Uniting links (``components``) alternates large-star and small-star steps on narrow rows, so nothing is
@@ -33,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacist.llm.workspace import as_bytes, slices, stored, tidied
+from abacist.llm.workspace import as_bytes, discard, slices, stored, tidied
 
 #: Places of a signature, and places of a band: all bands miss a pair of similarity 0.8 with a chance of 7e-6.
 PLACES, BAND = 150, 5
 #: Deviations of the estimate below the threshold at which pairs are still verified.
-DEVIATIONS = 4
+DEVIATIONS = 6
 #: Members of a bucket compared with each other; larger buckets are linked as a whole, which verification undoes.
 BUCKET_BLOCK = 512
-#: Texts and set elements of a block of a family; a task verifies two blocks together.
-FAMILY_BLOCK, FAMILY_ELEMENTS = 1024, 2_000_000
+#: Texts and set elements of a block of a family; a task verifies two blocks together. So few pairs are compared one by one.
+FAMILY_BLOCK, FAMILY_ELEMENTS, FEW = 1024, 2_000_000, 32
 CACHE_WORDS = 200_000
 
 _U = np.uint64
@@ -257,18 +259,22 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         if after.count() == pairs.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty():
+            discard(after)
             break
+        discard(pairs)
         pairs = after
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _true_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the pairs whose intersection is at least ``percent`` of the union.
 
-    Through an inverted index over the shingles that several sets have.
+    Through an inverted index over the shingles that several sets have. Sets with equal ``known`` labels are united already;
+    a set is compared only with those that aren't united with it yet.
     """
     sizes = np.array([len(s) for s in sets])
+    part = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     by = np.argsort(flat, kind="stable")
@@ -283,38 +289,33 @@ def _true_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     shingle = np.repeat(np.arange(len(lengths)), lengths)
     mine = np.argsort(post, kind="stable")
     edge = np.searchsorted(post[mine], np.arange(len(sets) + 1))
-    forest, out = Forest(len(sets)), []
+    out = []
     for i in range(len(sets)):
+        apart = (part != part[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        apart[: i + 1] = False
+        others = np.flatnonzero(apart)
         own = shingle[mine[edge[i] : edge[i + 1]]]
-        if not len(own):
+        if not len(own) or not len(others):
             continue
-        common = np.zeros(len(sets), dtype=np.int64)
-        for part in np.array_split(own, max(1, int(lengths[own].sum() // 4_000_000) + 1)):
-            n = lengths[part]
-            at = np.repeat(ends[part] - n - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            common += np.bincount(post[at], minlength=len(sets))
-        linked = 100 * common >= percent * (sizes + sizes[i] - common)
-        linked[: i + 1] = False
-        for k in np.flatnonzero(linked).tolist():
-            if forest.unite(i, k):
+        if len(others) <= FEW:
+            common = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in others])
+        else:
+            counts = np.zeros(len(sets), dtype=np.int64)
+            for some in np.array_split(own, max(1, int(lengths[own].sum() // 4_000_000) + 1)):
+                n = lengths[some]
+                at = np.repeat(ends[some] - n - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                counts += np.bincount(post[at], minlength=len(sets))
+            common = counts[others]
+        for k in others[100 * common >= percent * (sizes[others] + sizes[i] - common)].tolist():
+            if part[k] != part[i]:
+                part[part == part[k]] = part[i]
                 out.append((i, k))
     return out
 
 
-def verified_links(docs: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
-    """True links inside each family. ``families``: ``node, component, n_shingles``; ``docs``: ``rep, text``."""
+def _verified(tasks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """True links inside each task. ``tasks``: ``rep, task, label``, equal labels being united; ``docs``: ``rep, text``."""
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements"))
-    blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("elements") / FAMILY_ELEMENTS)).cast("int")
-    sized = families.join(counted.select("component", blocks.alias("blocks")), "component")
-    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    tasks = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, block).alias("low"), F.greatest(i, block).alias("high"))
-    )
-    tasks = F.filter(tasks, lambda t: (F.col("blocks") == 1) | (t["low"] < t["high"]))  # every pair of blocks has both blocks' own pairs
-    dealt = stored(sized.select(F.col("node").alias("rep"), "component", F.explode(tasks).alias("task")), "family-blocks")
-    # a block pair's number spreads a large family's work over the partitions
-    rows = dealt.select("rep", F.xxhash64("component", "task.low", "task.high").alias("task")).join(docs, "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -323,14 +324,52 @@ def verified_links(docs: DataFrame, families: DataFrame, words: int, percent: in
                 continue
             reps = run.column("rep").to_numpy()
             sets = [shingles(t) for chunk in run.column("text").chunks for t in as_bytes(chunk)]
-            links = _true_links(sets, percent)
+            links = _true_links(sets, percent, run.column("label").to_numpy())
             if links:
                 yield _edges([int(reps[i]) for i, _ in links], [int(reps[k]) for _, k in links])
 
-    ordered = rows.repartition(spread, "task").sortWithinPartitions("task", "rep")
+    ordered = tasks.join(docs, "rep").repartition(spread, "task").sortWithinPartitions("task", "rep")
     return ordered.mapInArrow(lambda x: tidied(verify(x)), "a long, b long")
 
 
+def verified_links(docs: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
+    """True links inside each family. ``families``: ``node, component, n_shingles``; ``docs``: ``rep, text``."""
+    blocks_of = lambda n, elements: F.greatest(F.ceil(n / FAMILY_BLOCK), F.ceil(elements / FAMILY_ELEMENTS)).cast("int")
+    sizes = [F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements")]
+    counted = families.groupBy("component").agg(*sizes).select("component", blocks_of(F.col("n"), F.col("elements")).alias("blocks"))
+    sized = stored(families.join(counted, "component"), "sized-families")
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    # a family's smallest member goes to all of its blocks
+    own = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    first = sized.select(F.col("node").alias("rep"), "component", "blocks", F.explode(own).alias("block"))
+    first = first.select("rep", F.xxhash64("component", "block").alias("task"), F.col("rep").alias("label"))
+    inside = stored(_verified(first, docs, words, percent), "block-links")
+
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        return inside
+    united = components(inside.join(large.select(F.col("node").alias("a")), "a"))
+    labelled = stored(large.join(united.withColumnRenamed("component", "label"), "node", "left").select(
+        F.col("node").alias("rep"), "component", "n_shingles", "blocks", F.coalesce("label", "node").alias("label")), "labelled-families")
+    groups = labelled.groupBy("component", "label").agg(*sizes)
+    most = groups.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = groups.join(most, "component").where("label <> main").groupBy("component").agg(F.sum("n").alias("n"), F.sum("elements").alias("elements"))
+    apart = most.join(rest, "component").select("component", "main", blocks_of(F.col("n"), F.col("elements")).alias("rest_blocks"))
+    dealt = labelled.join(apart, "component")
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("label") == F.col("main"), F.col("blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    main, other = F.lit("main"), F.lit("rest")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, a, b: F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"))
+    # a block apart meets each main block and each block apart, itself among them
+    of_main = F.transform(every("rest_blocks"), lambda a: cell(main, a, block))
+    of_rest = F.concat(
+        F.transform(every("blocks"), lambda b: cell(main, block, b)), F.transform(every("rest_blocks"), lambda b: cell(other, F.least(block, b), F.greatest(block, b)))
+    )
+    cells = dealt.select("rep", "component", "label", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)).alias("cell"))
+    second = cells.select("rep", F.xxhash64("component", "cell.kind", "cell.a", "cell.b").alias("task"), "label")
+    return inside.unionByName(_verified(second, docs, words, percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 

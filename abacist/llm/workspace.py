@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application, without a trailing slash.
 
-    ``spark.checkpoint.dir`` is taken as it is. Only where it is unset (tests, local mode) a folder of
-    this machine is made and set.
+    ``spark.checkpoint.dir`` is taken as it is. Where it is unset, a folder of this machine is made and set in local mode;
+    on a cluster, whose executors couldn't read that, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="abacist-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -38,14 +40,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_in = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a ``stored`` table that nothing reads any more."""
+    _delete(table.sparkSession, table._stored_in)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; results must have been written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
