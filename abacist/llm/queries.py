@@ -106,7 +106,14 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mjpeg_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from abacist.llm import mjpeg_avi
 
-    return mjpeg_avi.features(mjpeg_avi.media(table(spark, sf_dir, "documents"))).drop("shots")
+    return mjpeg_avi.features(mjpeg_avi.media(table(spark, sf_dir, "documents"))).drop("shots", "n_frames", "frames_per_second")
+
+
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of the media that ``op10_mjpeg_avi`` stores."""
+    from abacist.llm import mjpeg_avi
+
+    return mjpeg_avi.clips(mjpeg_avi.features(mjpeg_avi.media(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -121,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sum_of_squares_packing": op8_sum_of_squares_packing,
     "op9_superminhash": op9_superminhash,
     "op10_mjpeg_avi": op10_mjpeg_avi,
+    "media_clips": media_clips,
 }
 
 _BASE32 = """
