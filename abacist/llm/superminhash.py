@@ -328,7 +328,8 @@ def _verified(tasks: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             if links:
                 yield _edges([int(reps[i]) for i, _ in links], [int(reps[k]) for _, k in links])
 
-    ordered = tasks.join(docs, "rep").repartition(spread, "task").sortWithinPartitions("task", "rep")
+    # stored, so that its size decides whether it or the texts are moved
+    ordered = stored(tasks, "family-tasks").join(docs, "rep").repartition(spread, "task").sortWithinPartitions("task", "rep")
     return ordered.mapInArrow(lambda x: tidied(verify(x)), "a long, b long")
 
 
