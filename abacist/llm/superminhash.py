@@ -340,11 +340,13 @@ def verified_links(docs: DataFrame, families: DataFrame, words: int, percent: in
     counted = families.groupBy("component").agg(*sizes).select("component", blocks_of(F.col("n"), F.col("elements")).alias("blocks"))
     sized = stored(families.join(counted, "component"), "sized-families")
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    # whole texts are moved once; both steps read those of families only
+    texts = stored(docs.join(families.select(F.col("node").alias("rep")), "rep"), "family-texts")
     # a family's smallest member goes to all of its blocks
     own = F.when(F.col("node") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
     first = sized.select(F.col("node").alias("rep"), "component", "blocks", F.explode(own).alias("block"))
     first = first.select("rep", F.xxhash64("component", "block").alias("task"), F.col("rep").alias("label"))
-    inside = stored(_verified(first, docs, words, percent), "block-links")
+    inside = stored(_verified(first, texts, words, percent), "block-links")
 
     large = sized.where("blocks > 1")
     if large.isEmpty():
@@ -368,7 +370,7 @@ def verified_links(docs: DataFrame, families: DataFrame, words: int, percent: in
     )
     cells = dealt.select("rep", "component", "label", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)).alias("cell"))
     second = cells.select("rep", F.xxhash64("component", "cell.kind", "cell.a", "cell.b").alias("task"), "label")
-    return inside.unionByName(_verified(second, docs, words, percent))
+    return inside.unionByName(_verified(second, texts, words, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
