@@ -58,8 +58,9 @@ def uncertainty(value: Column, slope: Column, r2: Column, confidence: Column, pi
 
 
 def nonconformity(truth: Column, predicted: Column, relative: bool, tau: float) -> Column:
+    """The error of a prediction; ``relative`` to the truth, or to ``tau`` for small ones."""
     error = F.abs(truth - predicted)
-    return error / F.greatest(F.abs(predicted), F.lit(tau)) if relative else error
+    return error / F.greatest(F.abs(truth), F.lit(tau)) if relative else error
 
 
 def strategy(mode: Column, confidence: Column, coverage: Column, quality: Column) -> Column:

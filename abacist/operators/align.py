@@ -50,16 +50,31 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return one_row.select(F.when((F.col("n") >= 2) & (F.col("classes") >= 2) & (pe < 1), (po - pe) / (1 - pe)).alias("kappa"))
 
 
-def report(aligned: DataFrame, kind: str, gold_value: str, pred_value: str, same: Column) -> DataFrame:
-    """Matched rows' accuracy and concordance by type and over all (null type), with the gates' outcomes. Empty relations give no rows."""
-    grouped = aligned.groupingSets([[], [kind]], kind).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg((F.col("in_gold") & F.col("in_pred")).cast("double")).alias("success_rate"),
-        F.avg(F.when(F.col("in_gold") & F.col("in_pred"), same.cast("double"))).alias("accuracy"),
-        concordance(gold_value, pred_value).alias("ccc"),
+def report(aligned: DataFrame, gold_value: str, pred_value: str, gold_mark: str, pred_mark: str, require_ccc: bool = True, require_kappa: bool = True) -> DataFrame:
+    """One row of counts, metrics and gates. Accuracy is the share of equal marks in all rows, matched or not; kappa is over all rows, unmatched
+    ones with marks of their own. A missing coefficient fails its gate where it is required. Empty relations have the rates 1.
+    """
+    both, only = F.col("in_gold") & F.col("in_pred"), F.col("in_gold") & ~F.col("in_pred")
+    one = F.lit(1).alias("one")
+    counts = aligned.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(both).alias("matched"), F.count_if(only).alias("unmatched_gold"),
+        F.count_if(both & F.col(gold_mark).eqNullSafe(F.col(pred_mark))).alias("equal"), concordance(gold_value, pred_value).alias("ccc"),
+    )
+    mark = lambda c, a, b: F.when(both, F.coalesce(c, F.lit(""))).when(only, a).otherwise(b)
+    marked = aligned.select(mark(gold_mark, "__UNMATCHED_GOLD__", "__UNMATCHED_PRED__").alias("a"), mark(pred_mark, "__UNMATCHED_PRED__", "__UNMATCHED_GOLD__").alias("b"))
+    found = counts.select("*", one).join(kappa(marked, "a", "b").select("kappa", one), "one")  # one row each
+    rate = lambda c: F.when(F.col("total") == 0, 1.0).otherwise(F.col(c) / F.col("total"))
+    found = found.withColumns({"success_rate": rate("matched"), "accuracy": rate("equal"), "unmatched_pred": F.col("total") - F.col("matched") - F.col("unmatched_gold")})
+    gate = lambda c, least, required=True: F.coalesce(F.col(c) >= least, F.lit(not required))
+    passed = gate("success_rate", 0.99) & gate("accuracy", 0.95) & gate("ccc", 0.90, require_ccc) & gate("kappa", 0.81, require_kappa)
+    return found.select("matched", "unmatched_gold", "unmatched_pred", "total", "success_rate", "accuracy", "ccc", "kappa", passed.alias("passed"))
+
+
+def by_type(aligned: DataFrame, kind: str, gold_value: str, pred_value: str, same: Column) -> DataFrame:
+    """Count, accuracy and concordance of the matched rows of each type."""
+    return aligned.where("in_gold AND in_pred").groupBy(kind).agg(
+        F.count(F.lit(1)).alias("count"), F.avg(same.cast("double")).alias("accuracy"), concordance(gold_value, pred_value).alias("ccc")
     )
-    gate = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(True))
-    return grouped.withColumn("passed", gate("success_rate", 0.99) & gate("accuracy", 0.95) & gate("ccc", 0.90))
 
 
 def runtime_comparison(base: Column, new: Column) -> Column:

@@ -7,23 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def orientation(rows: DataFrame, key: list[str], width: str, height: str, x: str, y: str) -> DataFrame:
-    """Bars vary along the value axis: the side with the greater variation, else the aspect, else the spread of centres."""
-    vary = lambda c: F.stddev_pop(c) / F.avg(c)
+def orientation(rows: DataFrame, key: list[str], width: str, height: str, x: str, y: str, extent: tuple[float, float]) -> DataFrame:
+    """``orientation, confidence, method`` of each chart's bars.
+
+    Bars vary along the value axis: the side that varies twice as much, else the ratio of the median sides if enough bars agree, else
+    the spread of centres (against the image's ``extent``), else the majority, else vertical. A single bar goes by its sides.
+    """
+    vary = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
+    upright, lying = F.col(height) > 1.5 * F.col(width), F.col(width) > 1.5 * F.col(height)
     got = rows.groupBy(*key).agg(
-        vary(height).alias("cv_h"), vary(width).alias("cv_w"), F.median(F.col(height) / F.col(width)).alias("aspect"),
-        F.var_pop(x).alias("var_x"), F.var_pop(y).alias("var_y"), F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), vary(height).alias("cv_h"), vary(width).alias("cv_w"), F.median(height).alias("mh"), F.median(width).alias("mw"),
+        (F.var_pop(x) / extent[0] ** 2).alias("vx"), (F.var_pop(y) / extent[1] ** 2).alias("vy"), F.count_if(upright).alias("up"), F.count_if(lying).alias("flat"),
     )
+    got = got.withColumn("aspect", F.when(F.col("mw") > 0, F.col("mh") / F.col("mw")).otherwise(float("inf")))
+    n, h, w, vx, vy, aspect, up, flat = (F.col(c) for c in ("n", "cv_h", "cv_w", "vx", "vy", "aspect", "up", "flat"))
+    agree = F.greatest(up, flat) / n
+    one = F.lit(1.0)
+    choice = lambda what, sure, how: F.struct(F.lit(what).alias("orientation"), F.least(one, sure).alias("confidence"), F.lit(how).alias("method"))
+    spread = lambda a, b: a / (b + 1e-6) / 2
     decided = (
-        F.when((F.col("cv_h") > 2 * F.col("cv_w")) & (F.col("cv_h") > 0.15), "vertical")
-        .when((F.col("cv_w") > 2 * F.col("cv_h")) & (F.col("cv_w") > 0.15), "horizontal")
-        .when(F.col("aspect") > 1.5, "vertical")
-        .when(F.col("aspect") < 1 / 1.5, "horizontal")
-        .when(F.col("var_x") > F.col("var_y"), "vertical")
-        .when(F.col("var_y") > F.col("var_x"), "horizontal")
-        .otherwise("vertical")
+        F.when((n == 1) & (aspect > 1), choice("vertical", F.abs(aspect - 1), "single_element"))
+        .when(n == 1, choice("horizontal", F.abs(aspect - 1), "single_element"))
+        .when((h > 0.15) & (h > 2 * w), choice("vertical", spread(h, w), "variance"))
+        .when((w > 0.15) & (w > 2 * h), choice("horizontal", spread(w, h), "variance"))
+        .when((aspect > 1.5) & (agree > 0.6), choice("vertical", agree * (aspect - 1.5) / 1.5, "aspect_ratio"))
+        .when((aspect < 1 / 1.5) & (agree > 0.6), choice("horizontal", agree * (1 / aspect - 1.5) / 1.5, "aspect_ratio"))
+        .when((vx > 2 * vy) & (spread(vx, vy) > 0.6), choice("vertical", spread(vx, vy), "spatial_distribution"))
+        .when((vy > 2 * vx) & (spread(vy, vx) > 0.6), choice("horizontal", spread(vy, vx), "spatial_distribution"))
+        .when(up > flat, choice("vertical", up / n, "majority_vote"))
+        .when(flat > up, choice("horizontal", flat / n, "majority_vote"))
+        .otherwise(choice("vertical", F.lit(0.5), "default_fallback"))
     )
-    return got.withColumn("orientation", decided)
+    return got.select(*key, "n", decided.alias("d")).select(*key, "n", "d.*")
 
 
 def second_axis(rows: DataFrame, key: list[str], x: str, extent: float) -> DataFrame:
@@ -66,30 +81,36 @@ def trapezoid(rows: DataFrame, key: list[str], x: Column, y: str, tie: str) -> D
 
 
 def contiguity(rows: DataFrame, key: list[str], start: str, end: str, slack: float = 0.15) -> DataFrame:
-    """Histogram bins: ``ok``, ``gaps``, ``overlaps`` or ``both``, against the median bin width."""
-    w = Window.partitionBy(*key).orderBy(start, end)
+    """Histogram bins in the order of their centres: ``ok``, ``gaps``, ``overlaps`` or ``gaps_and_overlaps``, against the median bin width.
+
+    Under two bins, or bins of under a pixel, are ``ok``.
+    """
+    w = Window.partitionBy(*key).orderBy(F.col(start) + F.col(end), start)
     gaps = rows.withColumn("_gap", F.lead(start).over(w) - F.col(end)).withColumn("_width", F.col(end) - F.col(start))
     width = gaps.withColumn("_median", F.median("_width").over(Window.partitionBy(*key)))
-    got = width.groupBy(*key).agg(
-        F.coalesce(F.max((F.col("_gap") > slack * F.col("_median")).cast("int")), F.lit(0)).alias("g"),
-        F.coalesce(F.max((F.col("_gap") < -slack * F.col("_median")).cast("int")), F.lit(0)).alias("o"), F.count(F.lit(1)).alias("bins"),
-    )
-    state = F.when((F.col("g") == 1) & (F.col("o") == 1), "both").when(F.col("g") == 1, "gaps").when(F.col("o") == 1, "overlaps").otherwise("ok")
+    share = F.when(F.col("_median") >= 1, F.col("_gap") / F.col("_median"))
+    got = width.groupBy(*key).agg(F.count(F.lit(1)).alias("bins"), F.count_if(share > slack).alias("g"), F.count_if(share < -slack).alias("o"))
+    state = F.when((F.col("g") > 0) & (F.col("o") > 0), "gaps_and_overlaps").when(F.col("g") > 0, "gaps").when(F.col("o") > 0, "overlaps").otherwise("ok")
     return got.select(*key, "bins", state.alias("contiguity"))
 
 
 def layout(rows: DataFrame, key: list[str], center: str, width: str, tie: str) -> DataFrame:
-    """``stacked``, ``grouped``, ``mixed`` or ``simple``, by the gaps between neighbouring centres."""
+    """``grouped``, ``stacked``, ``mixed`` or ``simple``, by the gaps between neighbouring centres.
+
+    Grouped: of three gaps or more the largest is over 2.5 of the smallest. Stacked: a gap is under 0.3 of the median width. Mixed: of two
+    gaps or more, gaps or widths deviate by over half of their median.
+    """
     w = Window.partitionBy(*key).orderBy(center, tie)
     gaps = rows.withColumn("_gap", F.col(center) - F.lag(center).over(w))
+    vary = lambda c: F.round(F.stddev_pop(c) / (F.median(c) + 1e-6), 9)
     got = gaps.groupBy(*key).agg(
-        F.min("_gap").alias("least"), F.max("_gap").alias("most"), F.median("_gap").alias("mid"), F.avg(width).alias("w"),
-        F.round(F.stddev_pop("_gap") / F.avg("_gap"), 9).alias("cv"),
+        F.count("_gap").alias("n"), F.min("_gap").alias("least"), F.max("_gap").alias("most"), F.median(width).alias("w"),
+        vary("_gap").alias("cv_gap"), vary(width).alias("cv_width"),
     )
     kind = (
-        F.when(F.col("least") < 0.3 * F.col("w"), "stacked")
-        .when(F.col("most") > 2.5 * F.col("mid"), "grouped")
-        .when(F.col("cv") > 0.5, "mixed")
+        F.when((F.col("n") >= 3) & (F.col("most") > 2.5 * F.col("least")), "grouped")
+        .when(F.col("least") < 0.3 * F.col("w"), "stacked")
+        .when((F.col("n") > 1) & ((F.col("cv_gap") > 0.5) | (F.col("cv_width") > 0.5)), "mixed")
         .otherwise("simple")
     )
     return got.select(*key, kind.alias("layout"))

@@ -13,14 +13,14 @@ from abacist.functions.scalars import scaled, uncertainty
 def bar_values(bars: DataFrame, fits: DataFrame, vertical: Column, baseline: Column, key: list[str], label: Column | None = None) -> DataFrame:
     """The bar's far end from the baseline through the scale, less the baseline's value; a data label overrides it.
 
-    Without a calibration the value is in pixels. ``fits``: key, ``scale, slope, intercept, r2``.
+    Without a calibration the value is the bar's length in pixels. ``fits``: key, ``scale, slope, intercept, r2``.
     """
     b = G.box()
     low, high = F.when(vertical, b.y1).otherwise(b.x1), F.when(vertical, b.y2).otherwise(b.x2)
-    end = F.when(F.abs(low - baseline) >= F.abs(high - baseline), low).otherwise(high)
+    end = F.when(F.abs(low - baseline) > F.abs(high - baseline), low).otherwise(high)
     through = lambda at: scaled(F.col("scale"), F.col("slope"), F.col("intercept"), at)
     joined = bars.join(fits, key, "left")
-    read = F.when(F.col("slope").isNotNull(), through(end) - through(baseline)).otherwise(F.abs(end - baseline))
+    read = F.when(F.col("slope").isNotNull(), through(end) - through(baseline)).otherwise(F.abs(high - low))
     value = F.coalesce(label, read) if label is not None else read
     spread = uncertainty(F.col("value"), F.col("slope"), F.col("r2"), F.col("confidence"))
     return joined.withColumn("value", value).withColumn("uncertainty", F.when(F.col("slope").isNotNull(), spread))
@@ -61,11 +61,21 @@ def ordered_five(numbers: Column) -> Column:
     return F.when(F.exists(numbers, lambda v: v.isNull()), numbers).otherwise(F.array_sort(numbers))
 
 
-def box_checked(low: Column, q1: Column, median: Column, q3: Column, high: Column) -> Column:
-    """Median within the quartiles, whiskers outside them; suspect if a whisker moved by over half the box."""
-    new_low, new_high = F.least(low, q1), F.greatest(high, q3)
-    moved = F.greatest(F.abs(new_low - low), F.abs(new_high - high)) > 0.5 * (q3 - q1)
-    return F.struct(new_low.alias("whisker_low"), F.least(F.greatest(median, q1), q3).alias("median"), new_high.alias("whisker_high"), moved.alias("suspect"))
+def box_checked(low: Column, q1: Column, median: Column, q3: Column, high: Column, outliers: Column) -> Column:
+    """Quartiles in order, the median within them, whiskers outside them, outliers outside the whiskers.
+
+    If over half of the outliers are inside the whiskers, these are suspect and all outliers stay. As they are if one number is missing.
+    """
+    a, b = F.least(q1, q3), F.greatest(q1, q3)
+    new_low, new_high = F.least(low, a), F.greatest(high, b)
+    outside = F.filter(outliers, lambda o: (o < new_low) | (o > new_high))
+    suspect = 2 * (F.size(outliers) - F.size(outside)) > F.size(outliers)
+    whole = low.isNotNull() & q1.isNotNull() & median.isNotNull() & q3.isNotNull() & high.isNotNull()
+    checked = {
+        "whisker_low": (new_low, low), "q1": (a, q1), "median": (F.least(F.greatest(median, a), b), median), "q3": (b, q3), "whisker_high": (new_high, high),
+        "outliers": (F.when(suspect, outliers).otherwise(outside), outliers), "suspect": (suspect, F.lit(False)),
+    }
+    return F.struct(*[F.when(whole, new).otherwise(old).alias(name) for name, (new, old) in checked.items()])
 
 
 def shares(rows: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -74,10 +84,16 @@ def shares(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return rows.withColumn("share", F.when(total > 0, F.col(value) / total).otherwise(F.col(value)))
 
 
-def color_value(anchors: Column, at: Column) -> Column:
-    """Piecewise linear value at a place of a colour bar; ``anchors``: sorted (position, value), extended at both ends."""
+def color_value(anchors: Column, at: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """Piecewise linear value at a place of a colour bar; ``anchors``: sorted (position, value), extended at both ends.
+
+    One anchor gives its value; none, the place between ``low`` and ``high``.
+    """
     n = F.size(anchors)
-    above = F.size(F.filter(anchors, lambda a: a["position"] <= at))
+    above = F.size(F.filter(anchors, lambda a: a["position"] < at))
     i = F.least(F.greatest(above, F.lit(1)), n - 1)
-    a, b = F.element_at(anchors, i), F.element_at(anchors, i + 1)
-    return F.when(n >= 2, a["value"] + (at - a["position"]) * (b["value"] - a["value"]) / (b["position"] - a["position"]))
+    a, b = F.get(anchors, i - 1), F.get(anchors, i)
+    wide = b["position"] - a["position"]
+    between = F.when(F.abs(wide) < 1e-6, F.when(at > b["position"], b["value"]).otherwise(a["value"])).otherwise(a["value"] + (at - a["position"]) * (b["value"] - a["value"]) / wide)
+    bare = low + at * (high - low) if low is not None and high is not None else F.lit(None).cast("double")
+    return F.when(n >= 2, between).when(n == 1, F.get(anchors, F.lit(0))["value"]).otherwise(bare)

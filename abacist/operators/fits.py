@@ -81,14 +81,22 @@ def consensus_fit(rows: DataFrame, key: list[str], x: str, y: str, order: str, t
     return fit.select(*key, F.col("n").alias("n_inliers"), "slope", "intercept", "r2")
 
 
-def axis_scale(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """``linear`` where differences of neighbouring labels vary little, ``log`` where ratios do, else ``unknown``."""
-    before = F.lag(value).over(Window.partitionBy(*key).orderBy(order))
-    steps = rows.withColumn("d", F.col(value) - before).withColumn("q", F.when(before > 0, F.col(value) / before))
-    vary = lambda c: F.stddev_pop(c) / F.abs(F.avg(c))
-    got = steps.groupBy(*key).agg(vary("d").alias("cv_difference"), vary("q").alias("cv_ratio"), F.count("d").alias("steps"))
-    kind = F.when(F.col("steps") < 2, "unknown").when(F.col("cv_difference") < 0.15, "linear").when(F.col("cv_ratio") < 0.15, "log")
-    return got.withColumn("scale", F.coalesce(kind, F.lit("unknown")))
+def axis_scale(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``linear`` where differences of the sorted labels vary little, ``log`` where ratios of the positive ones do, else ``linear`` below a variation
+    of a half, ``unknown`` above it; ``confidence`` follows. Under three labels: ``unknown``.
+    """
+    w = Window.partitionBy(*key).orderBy(value)
+    before = F.lag(value).over(w)
+    steps = rows.where(F.col(value).isNotNull()).withColumn("d", F.col(value) - before).withColumn("q", F.when(before > 0, F.col(value) / before))
+    vary = lambda c: F.when(F.avg(c) != 0, F.stddev_pop(c) / F.abs(F.avg(c))).otherwise(float("inf"))
+    positive = F.count_if(F.col(value) > 0)
+    got = steps.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), vary("d").alias("cv_difference"), F.when(positive >= 3, vary("q")).otherwise(float("inf")).alias("cv_ratio")
+    )
+    d, q = F.col("cv_difference"), F.col("cv_ratio")
+    kind = F.when(F.col("n") < 3, "unknown").when(d < 0.15, "linear").when((q < 0.15) & (d > q), "log").when(d < 0.5, "linear").otherwise("unknown")
+    sure = F.when(F.col("n") < 3, 0.0).when(d < 0.15, 1 - d).when((q < 0.15) & (d > q), 1 - q).otherwise(F.greatest(F.lit(0.3), 1 - F.least(d, q)))
+    return got.withColumn("scale", kind).withColumn("confidence", sure)
 
 
 def consistent_labels(rows: DataFrame, key: list[str], x: str, y: str, share: float = 0.1) -> DataFrame:

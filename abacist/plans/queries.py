@@ -123,16 +123,28 @@ def bag_align_outer(spark, d):
     return r4(_aligned(spark, d), "gold_value", "pred_value").select("l_orderkey", "l_returnflag", "pair_no", "in_gold", "in_pred", "gold_value", "pred_value")
 
 
-@query(f"""WITH {_PAIRS}, a AS (SELECT coalesce(g.l_returnflag, p.l_returnflag) AS l_returnflag, g.rn IS NOT NULL AND p.rn IS NOT NULL AS m, g.l_extendedprice AS gv, p.v AS pv, g.l_linestatus = p.l_linestatus AS same
-               FROM g FULL JOIN p ON g.l_orderkey = p.l_orderkey AND g.l_returnflag = p.l_returnflag AND g.rn = p.rn),
-           s AS (SELECT l_returnflag, count(*) AS rows, avg(m::int::double) AS success_rate, avg(same::int::double) FILTER (m) AS accuracy,
-                 2 * covar_pop(gv, pv) / (var_pop(gv) FILTER (m) + var_pop(pv) FILTER (m) + (avg(gv) FILTER (m) - avg(pv) FILTER (m)) ** 2) AS ccc
-                 FROM a GROUP BY GROUPING SETS ((), (l_returnflag)))
-           SELECT l_returnflag, rows, round(success_rate, 6) AS success_rate, round(accuracy, 6) AS accuracy, round(ccc, 6) AS ccc,
-                  success_rate >= 0.99 AND accuracy >= 0.95 AND ccc >= 0.9 AS passed FROM s""")
+_MATCHED = f"""{_PAIRS}, a AS (SELECT coalesce(g.l_returnflag, p.l_returnflag) AS l_returnflag, g.rn IS NOT NULL AS ig, p.rn IS NOT NULL AS ip, g.l_extendedprice AS gv, p.v AS pv,
+               g.l_linestatus AS gm, p.l_linestatus AS pm FROM g FULL JOIN p ON g.l_orderkey = p.l_orderkey AND g.l_returnflag = p.l_returnflag AND g.rn = p.rn)"""
+_CCC = "2 * covar_pop(gv, pv) / (var_pop(gv) FILTER (ip) + var_pop(pv) FILTER (ig) + (avg(gv) FILTER (ip) - avg(pv) FILTER (ig)) ** 2)"
+
+
+@query(f"""WITH {_MATCHED}, s AS (SELECT count(*) FILTER (ig AND ip) AS matched, count(*) FILTER (ig AND NOT ip) AS unmatched_gold, count(*) FILTER (ip AND NOT ig) AS unmatched_pred, count(*) AS total,
+                 count(*) FILTER (gm = pm) AS equal, {_CCC} AS ccc FROM a),
+               x AS (SELECT CASE WHEN ig AND ip THEN gm WHEN ig THEN 'G' ELSE 'P' END AS ga, CASE WHEN ig AND ip THEN pm WHEN ig THEN 'P' ELSE 'G' END AS pa FROM a),
+               m AS (SELECT sum(na * nb) AS pr FROM (SELECT ga AS l, count(*)::double AS na FROM x GROUP BY 1) JOIN (SELECT pa AS l, count(*)::double AS nb FROM x GROUP BY 1) USING (l)),
+               k AS (SELECT count(*) FILTER (ga = pa) / count(*)::double AS po, any_value(pr) / count(*)::double / count(*) AS pe FROM x, m),
+               f AS (SELECT s.*, matched / total::double AS success_rate, equal / total::double AS accuracy, (po - pe) / (1 - pe) AS kappa FROM s, k)
+           SELECT matched, unmatched_gold, unmatched_pred, total, round(success_rate, 6) AS success_rate, round(accuracy, 6) AS accuracy, round(ccc, 6) AS ccc, round(kappa, 6) AS kappa,
+                  success_rate >= 0.99 AND accuracy >= 0.95 AND ccc >= 0.9 AND kappa >= 0.81 AS passed FROM f""")
 def validation_metrics(spark, d):
-    found = align.report(_aligned(spark, d), "l_returnflag", "gold_value", "pred_value", F.col("gold_mark") == F.col("pred_mark"))
-    return found.withColumns({c: F.round(c, 6) for c in ("success_rate", "accuracy", "ccc")})
+    found = align.report(_aligned(spark, d), "gold_value", "pred_value", "gold_mark", "pred_mark")
+    return found.withColumns({c: F.round(c, 6) for c in ("success_rate", "accuracy", "ccc", "kappa")})
+
+
+@query(f"""WITH {_MATCHED} SELECT l_returnflag, count(*) AS count, round(avg((gm = pm)::int::double), 6) AS accuracy, round({_CCC}, 6) AS ccc FROM a WHERE ig AND ip GROUP BY 1""")
+def validation_by_type(spark, d):
+    found = align.by_type(_aligned(spark, d), "l_returnflag", "gold_value", "pred_value", F.col("gold_mark") == F.col("pred_mark"))
+    return found.withColumns({c: F.round(c, 6) for c in ("accuracy", "ccc")})
 
 
 @query("""WITH x AS (SELECT substr(o_orderpriority, 1, 1) AS a, (1 + least(floor(o_totalprice / 100000), 4)::int)::varchar AS b FROM orders),
@@ -204,11 +216,16 @@ def consensus_fit(spark, d):
     return got.select("l_orderkey", "n_inliers", (F.round("slope", 2) + 0.0).alias("slope"))
 
 
-@query("""WITH s AS (SELECT user_id, value - lag(value) OVER w AS d, CASE WHEN lag(value) OVER w > 0 THEN value / lag(value) OVER w END AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-               g AS (SELECT user_id, stddev_pop(d) / abs(avg(d)) AS cd, stddev_pop(q) / abs(avg(q)) AS cq, count(d) AS steps FROM s GROUP BY 1)
-          SELECT user_id, steps, CASE WHEN steps < 2 THEN 'unknown' WHEN cd < 0.15 THEN 'linear' WHEN cq < 0.15 THEN 'log' ELSE 'unknown' END AS scale FROM g""")
+@query("""WITH v AS (SELECT user_id % 400 AS axis, CASE WHEN user_id % 3 = 0 THEN pow(2, event_id % 6) ELSE (event_id % 7) * 10 - 5 END::double AS value FROM events),
+               s AS (SELECT axis, value, value - lag(value) OVER w AS d, CASE WHEN lag(value) OVER w > 0 THEN value / lag(value) OVER w END AS q FROM (SELECT DISTINCT * FROM v) WINDOW w AS (PARTITION BY axis ORDER BY value)),
+               g AS (SELECT axis, count(*) AS n, CASE WHEN avg(d) <> 0 THEN stddev_pop(d) / abs(avg(d)) ELSE 1e300 END AS cd,
+                            CASE WHEN count(*) FILTER (value > 0) >= 3 THEN stddev_pop(q) / abs(avg(q)) ELSE 1e300 END AS cq FROM s GROUP BY 1)
+          SELECT axis, n, CASE WHEN n < 3 THEN 'unknown' WHEN cd < 0.15 THEN 'linear' WHEN cq < 0.15 AND cd > cq THEN 'log' WHEN cd < 0.5 THEN 'linear' ELSE 'unknown' END AS scale,
+                 round(CASE WHEN n < 3 THEN 0 WHEN cd < 0.15 THEN 1 - cd WHEN cq < 0.15 AND cd > cq THEN 1 - cq ELSE greatest(0.3, 1 - least(cd, cq)) END, 6) AS confidence FROM g""")
 def axis_scale(spark, d):
-    return fits.axis_scale(t(spark, d, "events"), ["user_id"], "event_id", "value").select("user_id", "steps", "scale")
+    value = F.when(F.col("user_id") % 3 == 0, F.pow(F.lit(2.0), F.col("event_id") % 6)).otherwise((F.col("event_id") % 7) * 10.0 - 5)
+    rows = t(spark, d, "events").select((F.col("user_id") % 400).alias("axis"), value.alias("value")).distinct()
+    return fits.axis_scale(rows, ["axis"], "value").select("axis", "n", "scale", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH f AS (SELECT l_suppkey, regr_slope(l_extendedprice, l_quantity) AS m, regr_intercept(l_extendedprice, l_quantity) AS c, max(l_extendedprice) - min(l_extendedprice) AS span FROM lineitem GROUP BY 1),
@@ -266,12 +283,25 @@ def conformal_intervals(spark, d):
 # --- axis, layout, clusters ----------------------------------------------------------------------
 
 
-@query("""WITH g AS (SELECT l_suppkey, stddev_pop(l_extendedprice) / avg(l_extendedprice) AS ch, stddev_pop(l_quantity) / avg(l_quantity) AS cw, median(l_extendedprice / l_quantity) AS a,
-                            var_pop(l_discount) AS vx, var_pop(l_tax) AS vy, count(*) AS n FROM lineitem GROUP BY 1)
-          SELECT l_suppkey, n, CASE WHEN ch > 2 * cw AND ch > 0.15 THEN 'vertical' WHEN cw > 2 * ch AND cw > 0.15 THEN 'horizontal' WHEN a > 1.5 THEN 'vertical' WHEN a < 1 / 1.5 THEN 'horizontal'
-                 WHEN vx > vy THEN 'vertical' WHEN vy > vx THEN 'horizontal' ELSE 'vertical' END AS orientation FROM g""")
+@query("""WITH b AS (SELECT l_orderkey // 4 AS chart, l_quantity + 5 AS w, CASE WHEN l_orderkey % 8 < 4 THEN l_extendedprice / 1000 + 1 ELSE l_quantity + 3 + l_linenumber END AS h, l_discount * 1000 AS x, l_tax * 500 AS y FROM lineitem),
+               g AS (SELECT chart, count(*) AS n, stddev_pop(h) / avg(h) AS ch, stddev_pop(w) / avg(w) AS cw, median(h) / median(w) AS a, var_pop(x) / 10000 AS vx, var_pop(y) / 2500 AS vy,
+                            count(*) FILTER (h > 1.5 * w) AS up, count(*) FILTER (w > 1.5 * h) AS flat FROM b GROUP BY 1),
+               k AS (SELECT *, greatest(up, flat) / n::double AS agree, vx / (vy + 1e-6) / 2 AS sx, vy / (vx + 1e-6) / 2 AS sy FROM g)
+          SELECT chart, n, CASE WHEN n = 1 THEN CASE WHEN a > 1 THEN 'vertical' ELSE 'horizontal' END WHEN ch > 0.15 AND ch > 2 * cw THEN 'vertical' WHEN cw > 0.15 AND cw > 2 * ch THEN 'horizontal'
+                   WHEN a > 1.5 AND agree > 0.6 THEN 'vertical' WHEN a < 1 / 1.5 AND agree > 0.6 THEN 'horizontal' WHEN vx > 2 * vy AND sx > 0.6 THEN 'vertical' WHEN vy > 2 * vx AND sy > 0.6 THEN 'horizontal'
+                   WHEN flat > up THEN 'horizontal' ELSE 'vertical' END AS orientation,
+                 CASE WHEN n = 1 THEN 'single_element' WHEN (ch > 0.15 AND ch > 2 * cw) OR (cw > 0.15 AND cw > 2 * ch) THEN 'variance' WHEN (a > 1.5 OR a < 1 / 1.5) AND agree > 0.6 THEN 'aspect_ratio'
+                   WHEN (vx > 2 * vy AND sx > 0.6) OR (vy > 2 * vx AND sy > 0.6) THEN 'spatial_distribution' WHEN flat <> up THEN 'majority_vote' ELSE 'default_fallback' END AS method,
+                 round(least(1, CASE WHEN n = 1 THEN abs(a - 1) WHEN ch > 0.15 AND ch > 2 * cw THEN ch / (cw + 1e-6) / 2 WHEN cw > 0.15 AND cw > 2 * ch THEN cw / (ch + 1e-6) / 2
+                   WHEN a > 1.5 AND agree > 0.6 THEN agree * (a - 1.5) / 1.5 WHEN a < 1 / 1.5 AND agree > 0.6 THEN agree * (1 / a - 1.5) / 1.5 WHEN vx > 2 * vy AND sx > 0.6 THEN sx WHEN vy > 2 * vx AND sy > 0.6 THEN sy
+                   WHEN flat <> up THEN greatest(up, flat) / n::double ELSE 0.5 END), 5) AS confidence FROM k""")
 def orientation_cv(spark, d):
-    return axis.orientation(t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice", "l_discount", "l_tax").select("l_suppkey", "n", "orientation")
+    tall = F.col("l_extendedprice") / 1000 + 1
+    bars = t(spark, d, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 4).alias("chart"), (F.col("l_quantity") + 5).alias("w"),
+        F.when(F.col("l_orderkey") % 8 < 4, tall).otherwise(F.col("l_quantity") + 3 + F.col("l_linenumber")).alias("h"), (F.col("l_discount") * 1000).alias("x"), (F.col("l_tax") * 500).alias("y"),
+    )
+    return axis.orientation(bars, ["chart"], "w", "h", "x", "y", (100.0, 50.0)).withColumn("confidence", F.round("confidence", 5))
 
 
 @query("""SELECT user_id, event_id, (sum(o) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))::bigint AS session
@@ -321,19 +351,19 @@ def zero_crossing(spark, d):
     return r4(axis.zero_crossing(t(spark, d, "customer"), ["c_nationkey"], "c_custkey", "c_acctbal"), "zero_at")
 
 
-@query("""WITH b AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 50000) * 50000 AS s FROM orders), w AS (SELECT o_custkey, s, s + 40000 + (o_orderkey % 3) * 10000 AS e FROM b),
-               g AS (SELECT o_custkey, lead(s) OVER (PARTITION BY o_custkey ORDER BY s, e) - e AS gap, median(e - s) OVER (PARTITION BY o_custkey) AS m FROM w)
-          SELECT o_custkey, count(*) AS bins, CASE WHEN bool_or(gap > 0.15 * m) AND bool_or(gap < -0.15 * m) THEN 'both' WHEN bool_or(gap > 0.15 * m) THEN 'gaps'
-                 WHEN bool_or(gap < -0.15 * m) THEN 'overlaps' ELSE 'ok' END AS contiguity FROM g GROUP BY 1""")
+@query("""WITH b AS (SELECT o_custkey, floor(o_totalprice / 50000) * 50000 / CASE WHEN o_custkey % 5 = 0 THEN 1e6 ELSE 1 END AS s, (40000 + (o_orderkey % 3) * 10000) / CASE WHEN o_custkey % 5 = 0 THEN 1e6 ELSE 1 END AS w FROM orders),
+               g AS (SELECT o_custkey, lead(s) OVER (PARTITION BY o_custkey ORDER BY s + s + w, s) - (s + w) AS gap, median(w) OVER (PARTITION BY o_custkey) AS m FROM b),
+               f AS (SELECT o_custkey, count(*) AS bins, count(*) FILTER (m >= 1 AND gap / m > 0.15) > 0 AS a, count(*) FILTER (m >= 1 AND gap / m < -0.15) > 0 AS o FROM g GROUP BY 1)
+          SELECT o_custkey, bins, CASE WHEN a AND o THEN 'gaps_and_overlaps' WHEN a THEN 'gaps' WHEN o THEN 'overlaps' ELSE 'ok' END AS contiguity FROM f""")
 def bin_contiguity(spark, d):
-    start = F.floor(F.col("o_totalprice") / 50000) * 50000
-    rows = t(spark, d, "orders").select("o_custkey", start.alias("s"), (start + 40000 + (F.col("o_orderkey") % 3) * 10000).alias("e"))
-    return axis.contiguity(rows, ["o_custkey"], "s", "e")
+    unit = F.when(F.col("o_custkey") % 5 == 0, 1e6).otherwise(1.0)
+    start, wide = F.floor(F.col("o_totalprice") / 50000) * 50000 / unit, (40000 + (F.col("o_orderkey") % 3) * 10000) / unit
+    return axis.contiguity(t(spark, d, "orders").select("o_custkey", start.alias("s"), (start + wide).alias("e")), ["o_custkey"], "s", "e")
 
 
-@query("""WITH g AS (SELECT l_orderkey, l_quantity AS c, l_tax * 100 AS w, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS gap FROM lineitem)
-          SELECT l_orderkey, CASE WHEN min(gap) < 0.3 * avg(w) THEN 'stacked' WHEN max(gap) > 2.5 * median(gap) THEN 'grouped' WHEN round(stddev_pop(gap) / nullif(avg(gap), 0), 9) > 0.5 THEN 'mixed' ELSE 'simple' END AS layout
-          FROM g GROUP BY 1""")
+@query("""WITH g AS (SELECT l_orderkey, l_quantity AS c, l_tax * 100 AS w, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS gap FROM lineitem),
+               f AS (SELECT l_orderkey, count(gap) AS n, min(gap) AS lo, max(gap) AS hi, median(w) AS w, round(stddev_pop(gap) / (median(gap) + 1e-6), 9) AS cg, round(stddev_pop(w) / (median(w) + 1e-6), 9) AS cw FROM g GROUP BY 1)
+          SELECT l_orderkey, CASE WHEN n >= 3 AND hi > 2.5 * lo THEN 'grouped' WHEN lo < 0.3 * w THEN 'stacked' WHEN n > 1 AND (cg > 0.5 OR cw > 0.5) THEN 'mixed' ELSE 'simple' END AS layout FROM f""")
 def bar_layout(spark, d):
     rows = t(spark, d, "lineitem").withColumn("w", F.col("l_tax") * 100)
     return axis.layout(rows, ["l_orderkey"], "l_quantity", "w", "l_linenumber")
@@ -367,21 +397,43 @@ def nearest_within_radius(spark, d):
     return got.select("nation", "s_suppkey", "c_custkey", F.round("distance", 2).alias("distance"))
 
 
-@query("""WITH p AS (SELECT s_nationkey AS nation, s_suppkey, c_custkey, abs(c_acctbal - s_acctbal) AS d, CASE WHEN c_custkey % 10 = s_suppkey % 10 THEN 0.9 ELSE 0 END AS shared
-                     FROM supplier JOIN customer ON c_nationkey = s_nationkey),
-               q AS (SELECT nation, s_suppkey, c_custkey, d, CASE WHEN shared >= 0.1 THEN 'overlap' WHEN d < 150 THEN 'proximity' WHEN d < 200 THEN 'spacing' WHEN d < 400 THEN 'zone' END AS strategy,
-                            CASE WHEN shared >= 0.1 THEN shared WHEN d < 150 THEN greatest(1 - 0.5 * d / 150, 0) WHEN d < 200 THEN greatest(1 - 0.3 * d / 200, 0) WHEN d < 400 THEN greatest(1 - d / 400, 0.3) END AS c FROM p),
-               b AS (SELECT * FROM q WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY nation, s_suppkey ORDER BY c DESC, d, c_custkey) = 1)
-          SELECT nation, s_suppkey, c_custkey, strategy, round(c, 4) AS confidence FROM b QUALIFY row_number() OVER (PARTITION BY nation, c_custkey ORDER BY c DESC, d, s_suppkey) = 1""")
+@query("""WITH p AS (SELECT a.l_orderkey, a.l_linenumber AS bar, b.l_linenumber AS label, abs(a.l_quantity - b.l_quantity - 2) AS d, a.l_discount * 100 AS w,
+                            CASE WHEN a.l_returnflag = b.l_linestatus OR a.l_partkey % 7 = b.l_partkey % 7 THEN 0.9 ELSE 0 END AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 0 AND b.l_linenumber % 2 = 1),
+               q AS (SELECT l_orderkey, bar, label, d, CASE WHEN shared >= 0.1 THEN 'direct_overlap' WHEN d <= 1.5 * w THEN 'proximity' WHEN d <= 4 THEN 'spacing_based' WHEN d <= 20 THEN 'zone_fallback' END AS strategy,
+                            CASE WHEN shared >= 0.1 THEN shared WHEN d <= 1.5 * w THEN 1 - 0.5 * CASE WHEN w > 0 THEN d / (1.5 * w) ELSE 0 END WHEN d <= 4 THEN 1 - 0.3 * d / 4 WHEN d <= 20 THEN greatest(1 - d / 20, 0.3) END AS c FROM p),
+               b AS (SELECT * FROM q WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_orderkey, bar ORDER BY round(c, 9) DESC, d, label) = 1)
+          SELECT l_orderkey, bar, label, strategy, round(c, 4) AS confidence FROM b QUALIFY row_number() OVER (PARTITION BY l_orderkey, label ORDER BY round(c, 9) DESC, d, bar) = 1""")
 def ranked_association(spark, d):
-    targets = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    sources = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    away = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    shared = F.when(F.col("c_custkey") % 10 == F.col("s_suppkey") % 10, 0.9).otherwise(0.0)
-    plans = associate.overlap_strategies(shared, away, F.lit(100.0), F.lit(500.0))
-    plans[3] = ("zone", away < 400.0, F.greatest(1 - away / 400.0, F.lit(0.3)))
-    got = associate.ranked(targets, sources, ["nation"], plans, away, "s_suppkey", "c_custkey")
-    return got.select("nation", "s_suppkey", "c_custkey", "strategy", F.round("confidence", 4).alias("confidence"))
+    li = t(spark, d, "lineitem")
+    side = lambda odd, p: li.where(F.col("l_linenumber") % 2 == odd).select("l_orderkey", F.col("l_linenumber").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("l_quantity", "l_returnflag", "l_linestatus", "l_partkey", "l_discount")])  # noqa: E731,E501
+    away = F.abs(F.col("bar_l_quantity") - F.col("label_l_quantity") - 2)
+    shared = F.when((F.col("bar_l_returnflag") == F.col("label_l_linestatus")) | (F.col("bar_l_partkey") % 7 == F.col("label_l_partkey") % 7), 0.9).otherwise(0.0)
+    # a twentieth of 0.4 and 2.0 spacings: 4 and 20
+    plans = [(n, c, F.round(v, 9)) for n, c, v in associate.overlap_strategies(shared, away, F.col("bar_l_discount") * 100, F.lit(10.0))]
+    got = associate.ranked(side(0, "bar"), side(1, "label"), ["l_orderkey"], plans, away, "bar", "label")
+    return got.select("l_orderkey", "bar", "label", "strategy", F.round("confidence", 4).alias("confidence"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber AS bar, l_quantity AS x1, 0.0 AS y1, l_quantity + 4 AS x2, 60.0 + l_linenumber AS y2 FROM lineitem WHERE l_linenumber % 2 = 1),
+               w AS (SELECT l_orderkey, l_linenumber AS whisker, l_quantity + l_tax * 10 + 1.5 AS x1, 10.0 AS y1, l_quantity + l_tax * 10 + 2.5 AS x2, 10.0 + l_discount * 800 AS y2 FROM lineitem),
+               s AS (SELECT l_orderkey, bar, whisker, abs((w.x1 + w.x2) / 2 - (b.x1 + b.x2) / 2) AS off, (w.y2 - w.y1) / (w.x2 - w.x1 + 1e-6) AS aspect, (w.y2 - w.y1) / (b.y2 - b.y1 + 1e-6) AS size FROM b JOIN w USING (l_orderkey)),
+               c AS (SELECT *, 1 - least(1, off / 2) AS align FROM s WHERE off <= 6),
+               k AS (SELECT l_orderkey, bar, whisker, round(0.3 * least(aspect / 5, 1) + 0.4 * align + 0.3, 6) AS confidence FROM c WHERE aspect > 2 AND align > 0.7 AND size BETWEEN 0.05 AND 0.8)
+          SELECT * FROM k WHERE confidence > 0.5 QUALIFY row_number() OVER (PARTITION BY l_orderkey, bar ORDER BY confidence DESC, whisker) = 1""")
+def error_bar_association(spark, d):
+    li = t(spark, d, "lineitem")
+    q, x = F.col("l_quantity"), F.col("l_quantity") + F.col("l_tax") * 10
+    bars = li.where("l_linenumber % 2 = 1").select("l_orderkey", F.col("l_linenumber").alias("bar"), q.alias("x1"), F.lit(0.0).alias("y1"), (q + 4).alias("x2"), (F.col("l_linenumber") + 60.0).alias("y2"))
+    whiskers = li.select("l_orderkey", F.col("l_linenumber").alias("whisker"), (x + 1.5).alias("w_x1"), F.lit(10.0).alias("w_y1"), (x + 2.5).alias("w_x2"), (F.col("l_discount") * 800 + 10).alias("w_y2"))
+    return associate.error_bars(bars, whiskers, ["l_orderkey"], "bar", "whisker", F.lit(True)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, abs(l_extendedprice - p_retailprice * l_quantity) / greatest(abs(l_extendedprice), 1000) AS score FROM lineitem JOIN part ON p_partkey = l_partkey)
+          SELECT l_orderkey, l_linenumber, round(score, 6) AS score FROM s""")
+def relative_nonconformity(spark, d):
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    score = S.nonconformity(F.col("l_extendedprice"), F.col("p_retailprice") * F.col("l_quantity"), True, 1000.0)
+    return rows.select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS user_id, o_orderkey, (epoch_us(o_orderdate) // 1000000) % 2592000 AS a, (epoch_us(o_orderdate) // 1000000) % 2592000 + 86400 * (1 + o_orderkey % 5) AS b FROM orders)
@@ -447,8 +499,8 @@ def scatter_statistics(spark, d):
 
 
 @query("""WITH f AS (SELECT l_orderkey, regr_slope(l_extendedprice, l_quantity) AS m, regr_intercept(l_extendedprice, l_quantity) AS c FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND var_pop(l_quantity) > 1e-12)
-          SELECT l_orderkey, l_linenumber, round(CASE WHEN m IS NOT NULL THEN (m * e + c) - (m * 20 + c) ELSE abs(e - 20) END, 3) AS value
-          FROM (SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity - 20) >= abs(l_quantity + 5 - 20) THEN l_quantity ELSE l_quantity + 5 END AS e FROM lineitem) LEFT JOIN f USING (l_orderkey)""")
+          SELECT l_orderkey, l_linenumber, round(CASE WHEN m IS NOT NULL THEN (m * e + c) - (m * 20 + c) ELSE 5 END, 3) AS value
+          FROM (SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_quantity - 20) > abs(l_quantity + 5 - 20) THEN l_quantity ELSE l_quantity + 5 END AS e FROM lineitem) LEFT JOIN f USING (l_orderkey)""")
 def bar_values(spark, d):
     li = t(spark, d, "lineitem")
     calibrations = fits.line_fit(li, ["l_orderkey"], "l_quantity", "l_extendedprice").withColumn("scale", F.lit("linear")).drop("n")

@@ -72,11 +72,16 @@ def test_validation_gates(spark):
     gold = spark.createDataFrame([("s", "bar", 1, 12.5), ("s", "bar", 2, 10.2), ("s", "line", 3, 3.8), ("s", "line", 4, 2.1)], "f string, chart_type string, o int, value double")
     bad = gold.withColumn("value", 20 - F.col("value"))
     for pred, passed in ((gold, True), (bad, False)):
-        pairs = align.bag_align(gold, pred, ["f", "chart_type"], ["o"], ["value"], ["value"])
-        total = align.report(pairs, "chart_type", "gold_value", "pred_value", F.lit(True)).where("chart_type IS NULL").first()
-        assert total["passed"] is passed
-    empty = align.bag_align(gold.limit(0), gold.limit(0), ["f", "chart_type"], ["o"], ["value"], ["value"])
-    assert align.report(empty, "chart_type", "gold_value", "pred_value", F.lit(True)).count() == 0
+        pairs = align.bag_align(gold, pred, ["f", "chart_type"], ["o"], ["value", "chart_type"], ["value", "chart_type"])
+        total = align.report(pairs, "gold_value", "pred_value", "gold_chart_type", "pred_chart_type").first()
+        assert total["passed"] is passed and (total["accuracy"], total["kappa"]) == (1.0, 1.0)
+    half = align.bag_align(gold, gold.where("o < 4"), ["f", "chart_type"], ["o"], ["value", "chart_type"], ["value", "chart_type"])
+    missed = align.report(half, "gold_value", "pred_value", "gold_chart_type", "pred_chart_type").first()
+    assert (missed["success_rate"], missed["accuracy"], missed["unmatched_gold"], missed["passed"]) == (0.75, 0.75, 1, False)
+    empty = align.bag_align(gold.limit(0), gold.limit(0), ["f", "chart_type"], ["o"], ["value", "chart_type"], ["value", "chart_type"])
+    for required in (True, False):
+        none = align.report(empty, "gold_value", "pred_value", "gold_chart_type", "pred_chart_type", required, required).first()
+        assert (none["success_rate"], none["accuracy"], none["ccc"], none["kappa"], none["passed"]) == (1.0, 1.0, None, None, not required)
 
 
 def test_intervals_and_fallback(spark):
@@ -88,8 +93,8 @@ def test_intervals_and_fallback(spark):
     first = spark.createDataFrame([(1, "x")], "chart int, v string")
     second = spark.createDataFrame([(1, "y"), (2, "z")], "chart int, v string")
     assert sorted(tuple(r) for r in routing.with_fallback(first, second, ["chart"]).collect()) == [(1, "x"), (2, "z")]
-    checked = spark.range(1).select(extract.box_checked(*[F.lit(v) for v in (5.0, 4.0, 9.0, 8.0, 12.0)]).alias("b")).select("b.*").first()
-    assert (checked["whisker_low"], checked["median"], checked["whisker_high"]) == (4.0, 8.0, 12.0)
+    checked = spark.range(1).select(extract.box_checked(*[F.lit(v) for v in (5.0, 4.0, 9.0, 8.0, 12.0)], F.array(F.lit(1.0), F.lit(5.0), F.lit(20.0))).alias("b")).select("b.*").first()
+    assert (checked["whisker_low"], checked["median"], checked["whisker_high"], checked["outliers"], checked["suspect"]) == (4.0, 8.0, 12.0, [1.0, 20.0], False)
 
 
 def test_contained_is_exact(spark):
