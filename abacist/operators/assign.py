@@ -113,6 +113,22 @@ def match_boxes(truth: DataFrame, found: DataFrame, key: str, least: float = 0.5
     return _matched(truth, found, key, BOX, "iou", pairs)
 
 
+def match_bands(labels: DataFrame, lines: DataFrame, key: str, least: float = 0.3) -> DataFrame:
+    """Per chart the labels (``gt_idx``) and grid lines (``det_idx``) of most shared extent, above ``least``. Labels: ``low, high``; lines: both their centre.
+
+    A line's band is the mean spacing of the chart's lines wide, 50 pixels with one line.
+    """
+
+    def pairs(g: np.ndarray, d: np.ndarray) -> list[tuple[int, int, float]]:
+        centers = d[:, 0]
+        half = (np.diff(centers).mean() if len(centers) > 1 else 50.0) / 2
+        shared = np.maximum(np.minimum(g[:, None, 1], centers[None] + half) - np.maximum(g[:, None, 0], centers[None] - half), 0)
+        iou = shared / np.maximum((g[:, 1] - g[:, 0])[:, None] + 2 * half - shared, 1e-6)
+        return [(i, j, iou[i, j]) for i, j in hungarian(-iou) if iou[i, j] > least]
+
+    return _matched(labels, lines, key, ["low", "high"], "iou", pairs)
+
+
 def match_points(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Per chart the pairs of points of least total distance. Both sides: key, ``idx, x, y``."""
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from abacist.functions import geometry as G
 
 # Fixed values by chart type: threshold, kernel factor and width, small box, region bonuses, numeric bonuses, title bounds and bonuses.
 PARAMETERS = {
@@ -68,3 +71,101 @@ def roles(labels: DataFrame, kind: str) -> DataFrame:
 def axis_of_scale(nx: Column, ny: Column) -> Column:
     """Line charts: which axis a scale label belongs to."""
     return F.when(ny > 0.75, "x").when((nx < 0.25) | (nx > 0.75), "y").when(ny > nx, "x").otherwise("y")
+
+
+def element_context(elements: DataFrame, key: list[str], kind: Column, vertical: Column) -> DataFrame:
+    """What label scores need of a chart's elements: extent with 2 % of padding, mean spacing, median box sizes and point density, by type.
+
+    ``elements``: ``x1, y1, x2, y2``; ``kind`` and ``vertical`` are of the chart.
+    """
+    b = G.box()
+    cx, cy = G.center(b)
+    got = elements.withColumns({"_x": cx, "_y": cy, "_k": kind, "_v": vertical}).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("num_elements"), F.min("_x").alias("l"), F.max("_x").alias("r"), F.min("_y").alias("t"), F.max("_y").alias("b"),
+        F.median(b.x2 - b.x1).alias("mw"), F.median(b.y2 - b.y1).alias("mh"), F.first("_k").alias("k"), F.first("_v").alias("v"),
+    )
+    wide, high = F.col("r") - F.col("l"), F.col("b") - F.col("t")
+    spacing = F.when(F.col("num_elements") > 1, F.when(F.col("v"), wide).otherwise(high) / (F.col("num_elements") - 1)).otherwise(0.0)
+    area = 1.04 * wide * 1.04 * high
+    dense = F.when(F.col("k").isin("scatter", "line", "histogram") & (wide > 0) & (high > 0), F.col("num_elements") / F.greatest(area, F.lit(1.0))).otherwise(0.0)
+    boxed = lambda c: F.when(F.col("k") == "box", F.col(c)).otherwise(0.0)
+    return got.select(
+        *key, "num_elements", (F.col("l") - 0.02 * wide).alias("left"), (F.col("t") - 0.02 * high).alias("top"), (F.col("r") + 0.02 * wide).alias("right"), (F.col("b") + 0.02 * high).alias("bottom"),
+        spacing.alias("avg_spacing"), wide.alias("x_spread"), high.alias("y_spread"), boxed("mw").alias("median_box_width"), boxed("mh").alias("median_box_height"), dense.alias("point_density"),
+    )
+
+
+def dispatched(labels: DataFrame, kind: str, confidence: str) -> DataFrame:
+    """Roles by each row's chart type: types in doubt (under 0.7) or without a scorer take the bar's."""
+    known = F.when((F.col(confidence) >= 0.7) & F.col(kind).isin(*PARAMETERS), F.col(kind)).otherwise("bar")
+    rows = labels.withColumn("scorer", known)
+    parts = [roles(rows.where(F.col("scorer") == k), k) for k in PARAMETERS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def axes_of_scatter(labels: DataFrame, key: list[str], width: float, height: float) -> DataFrame:
+    """``axis`` (x, y or null) of scatter scale labels (``label, cx, cy``).
+
+    The row (of a twentieth of the image) with most labels, at least two, is the x axis's, the lowest of equals; the leftmost such column the y axis's.
+    Labels left over go to the axis within a twentieth of the height, the nearer one, else by the bottom quarter and the left fifth.
+    """
+    whole = Window.partitionBy(*key)
+
+    def line_score(at: str, size: float, last: bool) -> Column:
+        line = Window.partitionBy(*key, F.floor(F.col(at) / (size * 0.05)))
+        n, mean = F.count(F.lit(1)).over(line), F.avg(at).over(line)
+        return F.when(n >= 2, F.struct(n.alias("n"), F.round(mean if last else -mean, 9).alias("at"), F.floor(F.col(at) / (size * 0.05)).alias("line")))
+
+    marked = labels.withColumns({"_row": line_score("cy", height, True), "_column": line_score("cx", width, False)})
+    marked = marked.withColumns({"_best_row": F.max("_row").over(whole), "_best_column": F.max("_column").over(whole)})
+    in_row, in_column = (F.coalesce(F.col(c) == F.col(b), F.lit(False)) for c, b in (("_row", "_best_row"), ("_column", "_best_column")))
+    to_x = F.coalesce(F.abs(F.col("cy") - F.col("_best_row.at")), F.lit(9999.0))
+    to_y = F.coalesce(F.abs(F.col("cx") + F.col("_best_column.at")), F.lit(9999.0))
+    near = 0.05 * height
+    rest = F.when((to_x < near) & (to_x < to_y), "x").when(to_y < near, "y").when(F.col("cy") / height > 0.75, "x").when(F.col("cx") / width < 0.2, "y")
+    axis = F.when(in_row, "x").when(in_column, "y").otherwise(rest)
+    return marked.withColumn("axis", axis).drop("_row", "_column", "_best_row", "_best_column")
+
+
+def heatmap_roles(labels: DataFrame) -> DataFrame:
+    """``role`` of heatmap labels: ``x1, y1, x2, y2``, image ``width, height``, and the grid's bounds ``left, top, right, bottom``.
+
+    Scale labels share area with a region beside the grid or lie in an axis's usual place; titles in the top one. Below the threshold both are
+    scored again as in an image of 1000 x 1000. Scores also hold ``role_score``.
+    """
+    b = G.box()
+    cx, cy = G.center(b)
+    left, top, right, bottom = (F.col(c) for c in ("left", "top", "right", "bottom"))
+    zero = F.lit(0.0)
+    beside = [G.Box(zero, top, left, bottom), G.Box(right, top, 2 * right, bottom)]
+    over = [G.Box(left, bottom, right, 2 * bottom), G.Box(left, zero, right, top)]
+    shared = lambda regions: G.iou(b, regions[0]) + G.iou(b, regions[1])
+    regional = 6.0 * shared(beside) + 6.0 * shared(over)
+
+    def scored(width: Column, height: Column) -> tuple[Column, Column]:
+        k = kernels(cx / width, cy / height, 0.05)
+        scale = regional + k["left"] * (6.0 / LEFT) + k["right"] * (3.0 / RIGHT) + k["bottom"] * (6.0 / BOTTOM) - 3.0 * k["center"]
+        return scale, k["top"] * (4.0 / TOP)
+
+    scale, title = scored(F.col("width"), F.col("height"))
+    again_scale, again_title = scored(F.lit(1000.0), F.lit(1000.0))
+    best = F.greatest(scale, zero, title)
+    role = F.when(best > 1.8, F.when(scale == best, "scale").otherwise("title")).when(again_scale > again_title, "scale").otherwise("title")
+    return labels.withColumn("role", role).withColumn("role_score", best)
+
+
+def axis_of_heatmap(cx: Column, cy: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """Beside the grid's rows: ``y``; above or below its columns: ``x``; else by the nearer edge."""
+    beside, over = cy.between(top, bottom), cx.between(left, right)
+    to_side, to_end = F.least(F.abs(cx - left), F.abs(cx - right)), F.least(F.abs(cy - top), F.abs(cy - bottom))
+    return F.when(beside & ~over, "y").when(over & ~beside, "x").when(to_side < to_end, "y").otherwise("x")
+
+
+def pie_role(text: Column, cluster: Column, distance: Column, radius: Column) -> Column:
+    """``data_label`` for percentages, numbers and lone labels (cluster -1) and those near the pie; ``legend`` for other clustered ones; null without text."""
+    number = text.rlike(r"\d+%") | F.trim(text).rlike(r"^\d+(\.\d+)?$")
+    legend = ~number & (cluster != -1) & (distance > 1.2 * radius)
+    return F.when(text.isNotNull() & (text != ""), F.when(legend, "legend").otherwise("data_label"))
