@@ -90,12 +90,11 @@ def in_label_range(value: Column, low: Column, high: Column, slack: float = 0.2)
 
 
 def pie_share(text: Column) -> Column:
-    """``25%`` or 25 as 0.25, fractions up to 1 as they are, larger than 100 null."""
-    fixed = F.replace(F.trim(text), F.lit("−"), F.lit("-"))
-    value = safe_number(F.replace(fixed, F.lit("%"), F.lit("")))
-    return (
-        F.when((value < 0) | (value > 100), None).when(fixed.contains("%"), value / 100).when(value <= 1, value).otherwise(value / 100)
-    )
+    """``25%`` as 0.25; other numbers up to 1 as they are, up to 100 in hundredths, larger ones null. Dashes count as minus."""
+    fixed = F.translate(F.trim(text), "−–—", "---")
+    percent = F.nullif(F.regexp_extract(fixed, r"^([+-]?\d+\.?\d*)\s*%$", 1), F.lit("")).try_cast("double")
+    value = safe_number(fixed)
+    return F.coalesce(percent / 100, F.when(value <= 1, value).when(value <= 100, value / 100))
 
 
 def table_cells(text: Column) -> Column:

@@ -131,12 +131,60 @@ def kmeans_choice(points: np.ndarray, most: int = 6, seed: int = 42) -> tuple[in
     return best[1], best[2]
 
 
-def recommendation(features: DataFrame) -> DataFrame:
-    """The clustering to use per chart, from ``n, density_cv, outlier_ratio``."""
+def chosen_clusters(rows: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
+    """``k`` and ``cluster`` of each point of a chart, by ``kmeans_choice`` over its points in ``order``. Charts are dealt to buckets; charts hold few points."""
+    dealt = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for chart, part in pdf.sort_values([key, order], kind="stable").groupby(key, sort=False):
+            k, labels = kmeans_choice(part[["x", "y"]].to_numpy())
+            out += [(chart, o, k, int(c)) for o, c in zip(part[order], labels)]
+        return pd.DataFrame(out, columns=[key, order, "k", "cluster"])
+
+    kinds = dict(rows.dtypes)
+    fields = f"{key} {kinds[key]}, {order} {kinds[order]}, k int, cluster int"
+    return dealt.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy("_b").applyInPandas(lambda pdf: per_bucket(pdf.drop(columns="_b")), fields)
+
+
+def point_features(points: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+    """``n, mean_distance, std_distance, density_variance, outlier_ratio, aspect_ratio`` of a chart's points, over all its pairs; charts under two points go.
+
+    Density: of the five nearest others. Outliers: points without another within twice the mean distance. A chart's points are gathered.
+    """
+    gathered = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
+    p, n = F.col("p"), F.size("p")
+    away = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+    rows = gathered.where(n >= 2).withColumn("rows", F.transform(p, lambda a: F.array_sort(F.transform(p, lambda b: away(a, b)))))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    vary = lambda c, m: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(c))
+    # a row's first distance is the point's own; every pair is in two rows
+    rows = rows.withColumn("d", F.flatten(F.transform("rows", lambda r: F.slice(r, 2, n - 1)))).withColumn("mean_distance", mean(F.col("d")))
+    density = F.transform("rows", lambda r: 1 / (mean(F.slice(r, 2, F.least(n - 1, F.lit(5)))) + 1e-6))
+    rows = rows.withColumn("density", density).withColumn("_m", mean(F.col("density")))
+    alone = F.size(F.filter("rows", lambda r: F.get(r, F.lit(1)) > 2 * F.col("mean_distance")))
+    span = lambda axis: F.array_max(F.transform(p, lambda a: a[axis])) - F.array_min(F.transform(p, lambda a: a[axis]))
+    return rows.select(
+        *key, n.alias("n"), "mean_distance", vary(F.col("d"), F.col("mean_distance")).alias("std_distance"), (vary(F.col("density"), F.col("_m")) / (F.col("_m") + 1e-6)).alias("density_variance"),
+        (alone / n).alias("outlier_ratio"), (span("x") / (span("y") + 1e-6)).alias("aspect_ratio"),
+    )
+
+
+def recommendation(features: DataFrame, kind: str, extent: Column) -> DataFrame:
+    """``algorithm, eps, min_size, confidence``: the clustering to use per chart, from ``n, mean_distance, density_variance``, its type, and the image's
+    ``extent`` along the category axis.
+    """
+    k, mean = F.col(kind), F.col("mean_distance")
+    choice = lambda name, sure, eps=None, least=None: F.struct(
+        F.lit(name).alias("algorithm"), (eps if eps is not None else F.lit(None)).cast("double").alias("eps"), (least if least is not None else F.lit(None)).cast("int").alias("min_size"), F.lit(sure).alias("confidence")
+    )
     rule = (
-        F.when(F.col("n") < 5, "gap")
-        .when(F.col("outlier_ratio") > 0.2, "dbscan")
-        .when(F.col("density_cv") > 0.5, "hdbscan")
-        .otherwise("kmeans")
+        F.when(k == "box", choice("intersection_alignment", 0.95))
+        .when(F.col("density_variance") > 0.5, choice("hdbscan", 0.85, least=F.when(k == "scatter", 3).otherwise(2)))
+        .when(k.isin("scatter", "line"), choice("hdbscan", 0.80, least=F.lit(3)))
+        .when(k.isin("bar", "histogram"), choice("dbscan", 0.90, 0.04 * extent, F.lit(2)))
+        .when(F.col("n") < 10, choice("kmeans", 0.75))
+        .otherwise(choice("dbscan", 0.70, 0.5 * mean, F.lit(2)))
     )
-    return features.withColumn("algorithm", rule)
+    return features.withColumn("_r", rule).select("*", "_r.*").drop("_r")

@@ -96,6 +96,19 @@ def axis_calibration(info: Column) -> Column:
     return F.struct(axis("x").alias("x_axis"), axis("y").alias("y_axis"), primary.alias("primary_scale_axis"), info["secondary_scale_axis"].alias("secondary_scale_axis"))
 
 
+def truth_document(charts: DataFrame) -> DataFrame:
+    """``path, chart_type, axis_calibration`` of generated charts and what their type has: ``bar_values, boxplot_statistics, data_points, histogram_bins``; null
+    for other types. ``charts``: ``path, chart_type, scale_info, bars, boxes, series``.
+    """
+    kind = F.coalesce("chart_type", F.lit("unknown"))
+    only = lambda value, *kinds: F.when(kind.isin(*kinds), value)
+    return charts.select(
+        "path", kind.alias("chart_type"), axis_calibration(F.col("scale_info")).alias("axis_calibration"), only(bar_values(F.col("bars")), "bar").alias("bar_values"),
+        only(box_statistics(F.col("boxes")), "box").alias("boxplot_statistics"), only(data_points(F.col("series")), "line", "scatter", "area").alias("data_points"),
+        only(histogram_bins(F.col("bars")), "histogram").alias("histogram_bins"),
+    )
+
+
 GOLD = ["source_file", "page_index", "chart_type", "group", "outcome", "value", "unit", "error_bar_type"]
 
 

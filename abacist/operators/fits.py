@@ -81,6 +81,43 @@ def consensus_fit(rows: DataFrame, key: list[str], x: str, y: str, order: str, t
     return fit.select(*key, F.col("n").alias("n_inliers"), "slope", "intercept", "r2")
 
 
+def refined_fit(rows: DataFrame, key: list[str], x: str, y: str, weight: str, threshold: float, rounds: int = 2) -> DataFrame:
+    """``slope, intercept, score, n_inliers`` of the weighted consensus line of each group.
+
+    Every pair of points is a hypothesis; it scores half a point per inlier less the weighted squared errors, cut at ``threshold``. The best one is refitted (by
+    weighted least squares) to its inliers, then ``rounds`` times to those within 0.9 of the threshold, and the best score on the way stands. Groups are
+    the labels of one axis.
+    """
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.least(F.greatest(F.col(weight).cast("double"), F.lit(1e-6)), F.lit(1.0)).alias("w"))
+    grouped = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*key).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    off = lambda q, line: F.abs(q["y"] - (line["m"] * q["x"] + line["c"]))
+    inside = lambda line, limit: F.filter("p", lambda q: off(q, line) <= limit)
+
+    def score(line: Column) -> Column:
+        cost = F.aggregate("p", F.lit(0.0), lambda s, q: s + q["w"] * F.least(off(q, line) * off(q, line), F.lit(threshold * threshold)))
+        return F.round(0.5 * F.size(inside(line, threshold)) - cost, 6)
+
+    def refit(some: Column, before: Column) -> Column:
+        total = lambda e: F.aggregate(some, F.lit(0.0), lambda s, q: s + q["w"] * e(q))
+        sw, mx, my = total(lambda q: F.lit(1.0)), total(lambda q: q["x"]), total(lambda q: q["y"])
+        sxy = total(lambda q: (q["x"] - mx / sw) * (q["y"] - my / sw))
+        sxx = total(lambda q: (q["x"] - mx / sw) * (q["x"] - mx / sw))
+        usable = (F.size(some) >= 2) & (sxx > 1e-12)
+        return F.when(usable, F.struct((sxy / sxx).alias("m"), (my / sw - sxy / sxx * mx / sw).alias("c"))).otherwise(before)
+
+    pairs = grouped.select(*key, "p", F.posexplode("p").alias("i", "a")).select(*key, "p", "i", "a", F.posexplode("p").alias("j", "b"))
+    pairs = pairs.where((F.col("i") < F.col("j")) & (F.abs(F.col("b.x") - F.col("a.x")) > 1e-12))
+    slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
+    tried = pairs.withColumn("line", F.struct(slope.alias("m"), (F.col("a.y") - slope * F.col("a.x")).alias("c"))).withColumn("score", score(F.col("line")))
+    best = tried.groupBy(*key).agg(F.max_by(F.struct("line", "p"), F.struct("score", -F.col("i"), -F.col("j"))).alias("b")).select(*key, "b.line", "b.p")
+    best = best.withColumn("line", refit(inside(F.col("line"), threshold), F.col("line"))).withColumn("score", score(F.col("line"))).withColumn("at", F.col("line"))
+    for _ in range(rounds):
+        best = best.withColumn("at", refit(inside(F.col("at"), 0.9 * threshold), F.col("at"))).withColumn("_s", score(F.col("at")))
+        better = F.col("_s") > F.col("score")
+        best = best.withColumn("line", F.when(better, F.col("at")).otherwise(F.col("line"))).withColumn("score", F.greatest("score", "_s")).drop("_s")
+    return best.select(*key, F.col("line.m").alias("slope"), F.col("line.c").alias("intercept"), "score", F.size(inside(F.col("line"), threshold)).alias("n_inliers"))
+
+
 def axis_scale(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """``linear`` where differences of the sorted labels vary little, ``log`` where ratios of the positive ones do, else ``linear`` below a variation
     of a half, ``unknown`` above it; ``confidence`` follows. Under three labels: ``unknown``.

@@ -212,6 +212,26 @@ def robust_bounds(cells: DataFrame, key: list[str]) -> DataFrame:
     return cells.groupBy(*key).agg(edge("x1", 0.05, "left"), edge("y1", 0.05, "top"), edge("x2", 0.95, "right"), edge("y2", 0.95, "bottom"))
 
 
+def curve_value(curve: Column, color: Column) -> Column:
+    """Struct (value, confidence) of a colour by the nearest point of a calibration curve; ``curve``: array of (``color``, ``value``), colours arrays of numbers.
+
+    The confidence falls with the distance from the curve, by a deviation of 15 levels.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    less = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
+
+    def along(i: Column) -> Column:
+        a, b = F.get(curve, i), F.get(curve, i + 1)
+        step = less(b["color"], a["color"])
+        length = dot(step, step)
+        t = F.when(length < 1e-6, 0.0).otherwise(F.least(F.greatest(dot(less(color, a["color"]), step) / length, F.lit(0.0)), F.lit(1.0)))
+        gap = F.zip_with(less(color, a["color"]), step, lambda p, q: p - t * q)
+        return F.struct(F.round(dot(gap, gap), 9).alias("d"), i.alias("i"), (a["value"] + t * (b["value"] - a["value"])).alias("value"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.size(curve) - 2), along))
+    return F.when(F.size(curve) >= 2, F.struct(best["value"].alias("value"), F.exp(-best["d"] / 450.0).alias("confidence")))
+
+
 # --- zero lines ------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abacist.operators import documents
+from abacist.operators import cluster, documents, fits, values
 from abacist.plans.link_queries import _LI, _lines
 from abacist.plans.queries import query, r4, t
 
@@ -158,3 +158,54 @@ def compared_methods(spark, d):
 def type_statistics(spark, d):
     got = documents.type_statistics(t(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_custkey")
     return r4(got, "avg_time", "avg_confidence").withColumn("total_time", F.round("total_time", 2))
+
+
+# --- clustering and fits of charts ----------------------------------------------------------------------
+
+_PAIRS = f"""{_LI}, pr AS (SELECT a.o, a.n, b.n AS m, sqrt((a.q - b.q) ** 2 + (a.d * 400 - b.d * 400) ** 2) AS far FROM li a JOIN li b ON a.o = b.o AND a.n <> b.n),
+             dn AS (SELECT o, 1 / (avg(far) + 1e-6) AS den FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY o, n ORDER BY far) <= 5) GROUP BY o, n),
+             mn AS (SELECT o, avg(far) AS mean, stddev_pop(far) AS dev FROM pr GROUP BY 1), al AS (SELECT o, count(*) FILTER (near > 2 * mean) AS alone, count(*) AS n FROM (SELECT o, n, min(far) AS near FROM pr GROUP BY 1, 2) JOIN mn USING (o) GROUP BY 1),
+             dv AS (SELECT o, stddev_pop(den) / (avg(den) + 1e-6) AS density FROM dn GROUP BY 1)"""
+
+
+def _features(spark, d):
+    return cluster.point_features(_lines(spark, d).withColumn("y", F.col("d") * 400), ["o"], "q", "y")
+
+
+@query(f"""WITH {_PAIRS}, ex AS (SELECT o, (max(q) - min(q)) / (max(d * 400) - min(d * 400) + 1e-6) AS aspect FROM li GROUP BY 1)
+           SELECT o, n::int AS n, round(mean, 4) AS mean_distance, round(dev, 4) AS std_distance, round(density, 5) AS density_variance, round(alone / n::double, 5) AS outlier_ratio, CASE WHEN aspect < 1000 THEN round(aspect, 4) END AS aspect_ratio FROM mn JOIN al USING (o) JOIN dv USING (o) JOIN ex USING (o)""")
+def point_features(spark, d):
+    got = _features(spark, d).withColumns({c: F.round(c, 5) for c in ("density_variance", "outlier_ratio")})
+    return r4(got.withColumn("aspect_ratio", F.when(F.col("aspect_ratio") < 1000, F.col("aspect_ratio"))), "mean_distance", "std_distance", "aspect_ratio")
+
+
+@query(f"""WITH {_PAIRS}, f AS (SELECT o, al.n, mean, round(density, 9) AS density, list_extract(['bar', 'box', 'line', 'scatter', 'pie'], (o % 5 + 1)::int) AS kind FROM mn JOIN al USING (o) JOIN dv USING (o))
+           SELECT o, kind, CASE WHEN kind = 'box' THEN 'intersection_alignment' WHEN density > 0.5 OR kind IN ('line', 'scatter') THEN 'hdbscan' WHEN kind = 'bar' THEN 'dbscan' ELSE 'kmeans' END AS algorithm,
+                  CASE WHEN kind = 'bar' AND density <= 0.5 THEN 24.0 END::double AS eps, CASE WHEN kind = 'box' THEN NULL WHEN density > 0.5 THEN CASE WHEN kind = 'scatter' THEN 3 ELSE 2 END WHEN kind IN ('line', 'scatter') THEN 3 WHEN kind = 'bar' THEN 2 END::int AS min_size,
+                  CASE WHEN kind = 'box' THEN 0.95 WHEN density > 0.5 THEN 0.85 WHEN kind IN ('line', 'scatter') THEN 0.8 WHEN kind = 'bar' THEN 0.9 ELSE 0.75 END::double AS confidence FROM f""")
+def clustering_choice(spark, d):
+    kind = F.get(F.array(*[F.lit(k) for k in ("bar", "box", "line", "scatter", "pie")]), (F.col("o") % 5).cast("int"))
+    rows = _features(spark, d).withColumn("density_variance", F.round("density_variance", 9)).withColumn("kind", kind)
+    return cluster.recommendation(rows, "kind", F.lit(600.0)).select("o", "kind", "algorithm", "eps", "min_size", "confidence")
+
+
+@query()
+def kmeans_by_chart(spark, d):
+    rows = _lines(spark, d).where("o % 20 < 10").select(F.floor(F.col("o") / 20).alias("chart"), (F.col("o") * 8 + F.col("n")).alias("k0"), "q", (F.col("d") * 400).alias("y"))
+    return cluster.chosen_clusters(rows, "chart", "k0", "q", "y")
+
+
+@query()
+def refined_fits(spark, d):
+    rows = _lines(spark, d).select("o", "q", (F.col("p") / 1000).alias("y"), (1 - F.col("d")).alias("w"))
+    return fits.refined_fit(rows, ["o"], "q", "y", "w", 3.0)
+
+
+@query(f"""WITH {_LI}, s AS (SELECT o, n, d * 2500 AS r, x * 3000 AS g FROM li), t AS (SELECT o, n, r, g, least(greatest(r / 100, 0), 1) AS a, least(greatest(g / 200, 0), 1) AS b FROM s),
+                k AS (SELECT *, (r - 100 * a) ** 2 + g ** 2 AS da, (r - 100) ** 2 + (g - 200 * b) ** 2 AS db FROM t)
+           SELECT o, n, round(CASE WHEN round(da, 9) <= round(db, 9) THEN 10 + a * 20 ELSE 30 + b * 70 END, 4) AS value, round(exp(-least(da, db) / 450), 6) AS confidence FROM k""")
+def color_curve_values(spark, d):
+    point = lambda r, g, v: F.struct(F.array(F.lit(r), F.lit(g)).alias("color"), F.lit(v).alias("value"))
+    curve = F.array(point(0.0, 0.0, 10.0), point(100.0, 0.0, 30.0), point(100.0, 200.0, 100.0))
+    rows = _lines(spark, d).select("o", "n", values.curve_value(curve, F.array(F.col("d") * 2500, F.col("x") * 3000)).alias("v"))
+    return rows.select("o", "n", F.round("v.value", 4).alias("value"), F.round("v.confidence", 6).alias("confidence"))

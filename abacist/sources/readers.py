@@ -17,9 +17,22 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def likely_figure(width: Column, height: Column, text_parts: Column, lines: Column) -> Column:
+    """Whether an image may be a chart: sides from 0.3 up to 4 to 1, three text-like parts, two straight lines; true where these weren't counted."""
+    ratio = width / F.when(height != 0, height)
+    return F.coalesce((ratio > 0.3) & (ratio < 4.0) & (text_parts >= 3) & (lines >= 2), ~F.coalesce((ratio <= 0.3) | (ratio >= 4.0), F.lit(False)))
+
+
 def assets(spark: SparkSession, folder: str, kind: str = "auto") -> DataFrame:
-    """``path, kind, bytes`` of a folder's images and PDFs, images first, by name. Contents aren't read."""
+    """``path, kind, bytes`` of a folder's (or one) image and PDF files, images first, by name; a missing path has none. Contents aren't read."""
     wanted = {"auto": (*IMAGES, "pdf"), "image": IMAGES, "pdf": ("pdf",)}[kind]
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "path string, bytes long, kind string")
     files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"))
     typed = files.withColumn("kind", F.when(suffix(F.col("path")) == "pdf", "pdf").otherwise("image"))
     return typed.where(suffix(F.col("path")).isin(*wanted)).orderBy((F.col("kind") == "pdf").cast("int"), "path")
@@ -44,6 +57,16 @@ def protocol_csv(spark: SparkSession, path: str, required: tuple[str, ...] = PRO
     return rows
 
 
+def checked_csv(spark: SparkSession, path: str, required: tuple[str, ...] = PROTOCOL_REQUIRED) -> tuple[DataFrame | None, str | None]:
+    """The rows, or what is wrong with the file: that it is missing, empty or lacks columns."""
+    if not exists(spark, path):
+        return None, f"File not found: {path}"
+    try:
+        return protocol_csv(spark, path, required), None
+    except ValueError as error:
+        return None, str(error)
+
+
 CONTEXT = T.StructType([
     T.StructField("outcomes", T.ArrayType(T.StringType())), T.StructField("groups", T.ArrayType(T.StringType())),
     T.StructField("units", T.MapType(T.StringType(), T.StringType())), T.StructField("error_bar_type", T.StringType()),
@@ -59,9 +82,13 @@ def context(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON or JSON Lines manifest: a list, an object with one of the list keys, or a record per line."""
-    multi = not path.endswith("l")
-    read = spark.read.option("multiLine", multi).json(path)
+    """Records of a JSON or JSON Lines (``.jsonl, .ndjson``) manifest: a list, an object with one of the list keys, or a record per line.
+
+    Rows that aren't objects are an error.
+    """
+    read = spark.read.option("multiLine", not path.endswith((".jsonl", ".ndjson"))).json(path)
+    if "_corrupt_record" in read.columns:
+        raise ValueError(f"{path} has rows that aren't objects")
     for key in LIST_KEYS:
         if key in read.columns and isinstance(read.schema[key].dataType, T.ArrayType):
             return read.select(F.explode(key).alias("r")).select("r.*")
@@ -96,6 +123,23 @@ def conformal_table(spark: SparkSession, path: str) -> DataFrame:
     return dealt.select("family", "mode", "tau", "bin", F.col("b.bin_edges")[0].alias("lo"), F.col("b.bin_edges")[1].alias("hi"), "b.q_alpha", "b.n_cal")
 
 
+def conformal_sidecar(spark: SparkSession, path: str) -> tuple[DataFrame | None, bool]:
+    """The table and whether it was loaded: a missing file or one without families isn't."""
+    if not exists(spark, path):
+        return None, False
+    table = conformal_table(spark, path)
+    return (None, False) if table.isEmpty() else (table, True)
+
+
+def evaluation_payload(spark: SparkSession, path: str) -> DataFrame:
+    """One row of ``summary`` and ``per_chart_metrics``; a payload without either is an error."""
+    read = spark.read.option("multiLine", True).json(path)
+    missing = [c for c in ("summary", "per_chart_metrics") if c not in read.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return read
+
+
 def yolo_labels(spark: SparkSession, folder: str) -> DataFrame:
     """``path, cls, cx, cy, w, h`` of normalised label lines; lines of another shape are dropped."""
     lines = spark.read.text(folder).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("p"))
