@@ -72,12 +72,21 @@ def nms(boxes: np.ndarray, scores: np.ndarray, limit: float) -> list[int]:
 BOX = ["x1", "y1", "x2", "y2"]
 
 
+#: Rows that a bucket of charts holds, about.
+BUCKET_ROWS = 50_000
+
+
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Charts dealt to buckets, some per partition: a call per bucket costs far less than one per chart."""
-    n = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Charts dealt to buckets, some per partition and more for more rows: a call per bucket costs far less than one per chart, and holds a bounded number of rows."""
+    n = buckets_for(rows)
     return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)))
 
 
+def buckets_for(*sides: DataFrame) -> int:
+    counted = max(rows.count() for rows in sides)
+    return max(8 * int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counted // BUCKET_ROWS))
+
+
 def _charts(pdf: pd.DataFrame, key: str, columns: list[str]) -> dict:
     """Chart to (idx, numbers) of its rows, by ascending idx."""
     pdf = pdf.sort_values([key, "idx"], kind="stable")
@@ -98,7 +107,9 @@ def _matched(truth: DataFrame, found: DataFrame, key: str, columns: list[str], m
         return pd.DataFrame(rows, columns=names)
 
     kind = dict(truth.dtypes)[key]
-    sides = [_dealt(x.select(key, "idx", *columns).where(F.col(key).isNotNull()), key).groupBy("_bucket") for x in (truth, found)]
+    n = buckets_for(truth, found)  # both sides alike
+    bucket = F.pmod(F.xxhash64(key), F.lit(n)).alias("_bucket")
+    sides = [x.where(F.col(key).isNotNull()).select(key, "idx", *columns, bucket).groupBy("_bucket") for x in (truth, found)]
     return sides[0].cogroup(sides[1]).applyInPandas(per_bucket, f"{key} {kind}, gt_idx long, det_idx long, {measure} double")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from abacist.operators.assign import buckets_for
+
 
 def gap_sessions(rows: DataFrame, key: list[str], order: list[str], position: Column, gap: float) -> DataFrame:
     """``session`` number per key: a new one where the position is more than ``gap`` from the one before."""
@@ -134,7 +136,7 @@ def kmeans_choice(points: np.ndarray, most: int = 6, seed: int = 42) -> tuple[in
 def chosen_clusters(rows: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
     """``k`` and ``cluster`` of each point of a chart, by ``kmeans_choice`` over its points in ``order``. Charts are dealt to buckets; charts hold few points."""
     dealt = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(rows)
 
     def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

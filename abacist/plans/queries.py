@@ -393,7 +393,7 @@ def circle_fit(spark, d):
 def nearest_within_radius(spark, d):
     targets = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
     sources = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    got = associate.nearest(targets, sources, ["nation"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 500.0, "s_suppkey", "c_custkey")
+    got = associate.nearest_along(targets, sources, ["nation"], "s_acctbal", "c_acctbal", 500.0, "s_suppkey", "c_custkey")
     return got.select("nation", "s_suppkey", "c_custkey", F.round("distance", 2).alias("distance"))
 
 
