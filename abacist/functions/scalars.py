@@ -46,8 +46,11 @@ def scaled(scale: Column, slope: Column, intercept: Column, x: Column) -> Column
     return F.when(scale == "log10", F.pow(F.lit(10.0), line)).when(scale == "ln", F.exp(line)).otherwise(line)
 
 
-def calibration_quality(r2: Column) -> Column:
-    return F.when(r2.isNull(), "uncalibrated").when(r2 >= 0.85, "high").when(r2 >= 0.15, "approximate").otherwise("uncalibrated")
+def calibration_quality(r2: Column, width: Column | None = None) -> Column:
+    """By the fit, and by the mean relative width of intervals where it is known: good fits with intervals of 0.15 or wider are ``approximate``."""
+    narrow = F.coalesce(width < 0.15, F.lit(True)) if width is not None else F.lit(True)
+    known = r2.isNotNull() & ~F.isnan(r2.cast("double"))
+    return F.when(~known, "uncalibrated").when((r2 >= 0.85) & narrow, "high").when(r2 >= 0.15, "approximate").otherwise("uncalibrated")
 
 
 def uncertainty(value: Column, slope: Column, r2: Column, confidence: Column, pixels: float = 1.0) -> Column:
@@ -63,8 +66,16 @@ def nonconformity(truth: Column, predicted: Column, relative: bool, tau: float)
     return error / F.greatest(F.abs(truth), F.lit(tau)) if relative else error
 
 
-def strategy(mode: Column, confidence: Column, coverage: Column, quality: Column) -> Column:
-    """The extraction strategy of a chart: an explicit mode, or by the quality signals."""
+STRATEGIES = ("standard", "vlm", "chart_to_table", "hybrid")
+
+
+def strategy(mode: Column, confidence: Column, coverage: Column, quality: Column, available: tuple[str, ...] = STRATEGIES) -> Column:
+    """The extraction strategy of a chart: an explicit mode, or by the quality signals, among those ``available``. A mode that isn't is an error."""
+    if "standard" not in available:
+        raise ValueError("the standard strategy must be available")
     doubtful = (confidence < 0.4) & (coverage < 0.3)
-    hybrid = (quality == "uncalibrated") & (coverage >= 0.5)
-    return F.when(mode != "auto", mode).when(doubtful, "vlm").when(hybrid, "hybrid").otherwise("standard")
+    other = next((s for s in ("vlm", "chart_to_table") if s in available), None)
+    hybrid = (quality == "uncalibrated") & (coverage >= 0.5) & F.lit("hybrid" in available)
+    missing = F.raise_error(F.concat(F.lit("strategy is not available: "), mode)).cast("string")
+    auto = F.when(doubtful & F.lit(other is not None), F.lit(other)).when(hybrid, "hybrid").otherwise("standard")
+    return F.when(mode == "auto", auto).when(mode.isin(*available), mode).otherwise(missing)

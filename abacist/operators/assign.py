@@ -89,6 +89,8 @@ def buckets_for(*sides: DataFrame) -> int:
 
 def _charts(pdf: pd.DataFrame, key: str, columns: list[str]) -> dict:
     """Chart to (idx, numbers) of its rows, by ascending idx."""
+    if not len(pdf):  # an empty side of a group may come without columns
+        return {}
     pdf = pdf.sort_values([key, "idx"], kind="stable")
     keys, idx, numbers = pdf[key].to_numpy(), pdf["idx"].to_numpy(), pdf[columns].to_numpy(float)
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
@@ -109,7 +111,8 @@ def _matched(truth: DataFrame, found: DataFrame, key: str, columns: list[str], m
     kind = dict(truth.dtypes)[key]
     n = buckets_for(truth, found)  # both sides alike
     bucket = F.pmod(F.xxhash64(key), F.lit(n)).alias("_bucket")
-    sides = [x.where(F.col(key).isNotNull()).select(key, "idx", *columns, bucket).groupBy("_bucket") for x in (truth, found)]
+    # new names for columns that both sides may have from one table
+    sides = [x.where(F.col(key).isNotNull()).select(*[F.col(c).alias(c) for c in (key, "idx", *columns)], bucket).groupBy("_bucket") for x in (truth, found)]
     return sides[0].cogroup(sides[1]).applyInPandas(per_bucket, f"{key} {kind}, gt_idx long, det_idx long, {measure} double")
 
 
@@ -124,6 +127,29 @@ def match_boxes(truth: DataFrame, found: DataFrame, key: str, least: float = 0.5
     return _matched(truth, found, key, BOX, "iou", pairs)
 
 
+def threshold_counts(truth: DataFrame, found: DataFrame, key: str, thresholds: list[float], least: float = 0.5) -> DataFrame:
+    """``key, threshold, tp, n_det, n_gt``: each chart's detections (key, ``idx``, box, ``conf``) from a threshold on, matched anew in their order to the best free truth."""
+    n = buckets_for(truth, found)
+    bucket = F.pmod(F.xxhash64(key), F.lit(n)).alias("_bucket")
+    # new names for columns that both sides may have from one table
+    sides = [x.where(F.col(key).isNotNull()).select(*[F.col(n).alias(n) for n in (key, "idx", *c)], bucket).groupBy("_bucket") for x, c in ((truth, BOX), (found, [*BOX, "conf"]))]
+
+    def per_bucket(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        left, right = _charts(a, key, BOX), _charts(b, key, [*BOX, "conf"])
+        out = []
+        for chart in dict.fromkeys([*left, *right]):
+            g = left[chart][1] if chart in left else np.zeros((0, 4))
+            d = right[chart][1] if chart in right else np.zeros((0, 5))
+            iou = iou_matrix(d[:, :4], g) if len(d) and len(g) else np.zeros((len(d), len(g)))
+            for t in thresholds:
+                kept = d[:, 4] >= t
+                out.append((chart, t, len(greedy(iou[kept], least)) if len(g) else 0, int(kept.sum()), len(g)))
+        return pd.DataFrame(out, columns=[key, "threshold", "tp", "n_det", "n_gt"])
+
+    kind = dict(truth.dtypes)[key]
+    return sides[0].cogroup(sides[1]).applyInPandas(per_bucket, f"{key} {kind}, threshold double, tp long, n_det long, n_gt long")
+
+
 def match_bands(labels: DataFrame, lines: DataFrame, key: str, least: float = 0.3) -> DataFrame:
     """Per chart the labels (``gt_idx``) and grid lines (``det_idx``) of most shared extent, above ``least``. Labels: ``low, high``; lines: both their centre.
 

@@ -61,6 +61,30 @@ def baseline(ends: DataFrame, key: list[str], end: str, zero: str | None = None,
     return got
 
 
+def ends(rows: DataFrame, key: list[str], one: Column, other: Column, vertical: Column) -> DataFrame:
+    """Least, largest and mean near and far ends of a chart's bars; near is the lower side of vertical ones, the left one of others."""
+    low, high = F.least(one, other), F.greatest(one, other)
+    both = {"near": F.when(vertical, high).otherwise(low), "far": F.when(vertical, low).otherwise(high)}
+    return rows.groupBy(*key).agg(*[f(c).alias(f"{n}_{s}") for n, c in both.items() for s, f in (("min", F.min), ("max", F.max), ("avg", F.avg))])
+
+
+def detected_baseline(rows: DataFrame, key: list[str], center: str, near: str, band: float, vertical: Column, inverted: Column, zero: Column) -> DataFrame:
+    """``baseline, bands, method`` from near ends by stack (bars whose centres share a band: the outermost end).
+
+    Two bands or more: the 95th percentile of vertical charts, the 5th of horizontal ones, swapped for inverted axes; fewer: the median of all ends. A zero
+    of the scale replaces it in horizontal charts, and in vertical ones where it is within 10 pixels. ``vertical, inverted, zero`` are of the chart.
+    """
+    marked = rows.withColumns({"_v": vertical, "_up": vertical != inverted, "_z": zero, "_band": F.floor(F.col(center) / band)})
+    outer = marked.groupBy(*key, "_band").agg(F.when(F.first("_up"), F.max(near)).otherwise(F.min(near)).alias("_end"), F.first("_up").alias("_up"))
+    high, low = F.percentile("_end", F.lit(0.95)), F.percentile("_end", F.lit(0.05))
+    stacked = outer.groupBy(*key).agg(F.count(F.lit(1)).alias("bands"), F.when(F.first("_up"), high).otherwise(low).alias("_stacked"))
+    plain = marked.groupBy(*key).agg(F.median(near).alias("_median"), F.first("_v").alias("_v"), F.first("_z").alias("_z"))
+    found = plain.join(stacked, key).withColumn("_single", F.when(F.col("bands") >= 2, F.col("_stacked")).otherwise(F.col("_median")))
+    use_zero = F.coalesce(~F.col("_v") | (F.abs(F.col("_single") - F.col("_z")) <= 10), F.lit(False)) & F.col("_z").isNotNull()
+    method = F.when(use_zero, "zero").when(F.col("bands") >= 2, "stacks").otherwise("median")
+    return found.select(*key, F.when(use_zero, F.col("_z")).otherwise(F.col("_single")).alias("baseline"), "bands", method.alias("method"))
+
+
 def zero_crossing(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Where the values first change sign along ``order``: a zero value's place, or between two neighbours."""
     w = Window.partitionBy(*key).orderBy(order)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Whether more is better, by metric.
 DIRECTION = {"precision": 1, "recall": 1, "f1": 1, "avg_iou": 1, "relaxed_accuracy": 1, "mae": -1, "relative_error": -1}
@@ -44,6 +45,24 @@ def weak_types(summaries: DataFrame, kind: str, least: float = 0.8) -> DataFrame
     return summaries.where(F.col(kind).isNotNull() & (F.col("mean_f1") < least)).orderBy("mean_f1", kind)
 
 
+def handler_report(per_chart: DataFrame, kind: str, metrics: list[str]) -> DataFrame:
+    """Count, and mean and sample deviation of the finite metrics by type, the worst mean f1 first."""
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+    found = per_chart.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("count"), *[F.avg(finite(m)).alias(f"{m}_mean") for m in metrics], *[F.stddev_samp(finite(m)).alias(f"{m}_std") for m in metrics]
+    )
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("f1_mean"), kind))).orderBy("place")  # a row per type
+
+
+def best_threshold(counts: DataFrame) -> DataFrame:
+    """F1 by threshold from ``threshold, tp, n_det, n_gt`` of charts, the first best marked."""
+    summed = counts.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "n_det", "n_gt")])
+    p, r = ratio(F.col("tp"), F.col("n_det")), ratio(F.col("tp"), F.col("n_gt"))
+    scored = summed.withColumn("f1", ratio(2 * p * r, p + r))
+    order = Window.orderBy(F.desc(F.round("f1", 9)), "threshold")  # a row per threshold
+    return scored.withColumn("best", F.row_number().over(order) == 1)
+
+
 def deltas(summaries: DataFrame, arm: str, base: str, new: str, metrics: list[str]) -> DataFrame:
     """A row per metric: both arms' values, the difference and whether it is an improvement."""
     pairs = ", ".join(f"'{m}', {m}" for m in metrics)

@@ -58,6 +58,18 @@ def mad_threshold(rows: DataFrame, key: list[str], value: str, floor: float = 1e
     return got.select(*key, "mad", F.greatest(2.5 * robust, F.lit(floor)).alias("threshold"))
 
 
+def residual_threshold(rows: DataFrame, key: list[str], x: str, y: str, base: float) -> DataFrame:
+    """2.5 robust deviations of the residuals from each group's line, at least ``base``; the plain deviation where the robust one is 0; ``base`` for under three points."""
+    whole = Window.partitionBy(*key)
+    fitted = rows.join(line_fit(rows, key, x, y).select(*key, "slope", "intercept"), key, "left")
+    off = fitted.withColumn("_r", F.round(F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))), 9))
+    away = off.withColumn("_away", F.abs(F.col("_r") - F.median("_r").over(whole)))
+    got = away.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.median("_away").alias("mad"), F.stddev_pop("_r").alias("deviation"))
+    robust = F.when(F.col("mad") > 1e-9, 1.4826 * F.col("mad")).otherwise(F.col("deviation"))
+    limit = F.when(F.col("n") >= 3, F.greatest(F.coalesce(2.5 * robust, F.lit(base)), F.lit(base))).otherwise(base)
+    return got.select(*key, "n", limit.alias("threshold"))
+
+
 def consensus_fit(rows: DataFrame, key: list[str], x: str, y: str, order: str, threshold: float) -> DataFrame:
     """Per group the line through two of its points with the best truncated squared error, refitted to its inliers.
 

@@ -102,3 +102,10 @@ def page(rows: DataFrame, order: list[str], size: int = 100) -> DataFrame:
     """Rows numbered and dealt to pages, within each source file."""
     n = F.row_number().over(Window.partitionBy("source_file").orderBy(*order))
     return rows.withColumn("row_no", n).withColumn("page", F.ceil(n / size).cast("int"))
+
+
+def pagination(rows: DataFrame, key: list[str], kind: str, size: int = 100) -> DataFrame:
+    """``total_rows, total_pages, enabled`` per chart: only heatmaps of more than a page are paged."""
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total_rows"), F.first(kind).alias("_kind"))
+    pages = F.greatest(F.ceil(F.col("total_rows") / size), F.lit(1)).cast("int")
+    return counted.select(*key, "total_rows", pages.alias("total_pages"), ((F.col("_kind") == "heatmap") & (F.col("total_rows") > size)).alias("enabled"))

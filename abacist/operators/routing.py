@@ -30,6 +30,18 @@ def with_fallback(first: DataFrame, second: DataFrame, key: list[str]) -> DataFr
     return first.unionByName(second.join(first.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def histogram_fallback(first: DataFrame, lower: DataFrame, borrowed: DataFrame, key: list[str], name: str = "class_name", wanted: str = "bar") -> DataFrame:
+    """Detections of histograms: those of ``first`` for images with a bar; else those of ``lower`` (at a lower threshold) if they have one; else
+    ``first`` with the bars of another detector.
+    """
+    with_bars = lambda rows: rows.where(F.col(name) == wanted).select(*key).distinct()
+    settled = with_bars(first)
+    second = lower.join(settled, key, "left_anti").join(with_bars(lower), key, "left_semi")
+    kept = first.join(second.select(*key).distinct(), key, "left_anti")
+    third = borrowed.where(F.col(name) == wanted).join(settled, key, "left_anti").join(with_bars(lower), key, "left_anti")
+    return kept.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)
+
+
 def survives(errors: Column, result: Column) -> Column:
     """A chart without a result goes on only if every error is about calibration."""
     return result.isNotNull() | F.coalesce(F.forall(errors, lambda e: F.lower(e).contains("calibration")), F.lit(False))

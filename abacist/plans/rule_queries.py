@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from abacist.functions import geometry as G
 from abacist.functions import scalars as S
 from abacist.functions import text as X
-from abacist.operators import axis, extract, fits
+from abacist.operators import assign, associate, axis, evaluate, extract, fits, protocol, routing
 from abacist.plans.link_queries import _LI, _lines
 from abacist.plans.queries import query, r4, t
 
@@ -95,3 +95,84 @@ def scatter_points(spark, d):
     y_fits = x_fits.select("g", F.lit("log10").alias("scale"), F.lit(0.01).alias("slope"), F.lit(0.5).alias("intercept"))
     points = rows.select("g", "o", "n", F.col("q").alias("x1"), (F.col("d") * 100).alias("y1"), (F.col("q") + 4).alias("x2"), (F.col("d") * 100 + 2).alias("y2"))
     return r4(extract.point_values(points, x_fits, y_fits, ["g"]).select("o", "n", "x", "y"), "x", "y")
+
+
+# --- baselines, limits, reports and fallbacks -------------------------------------------------------------
+
+
+@query(f"""WITH {_LI}, e AS (SELECT o, greatest(q, d * 400) AS hi, least(q, d * 400) AS lo, o % 2 = 0 AS v FROM li)
+           SELECT o, min(CASE WHEN v THEN hi ELSE lo END) AS near_min, max(CASE WHEN v THEN hi ELSE lo END) AS near_max, round(avg(CASE WHEN v THEN hi ELSE lo END), 6) AS near_avg,
+                  min(CASE WHEN v THEN lo ELSE hi END) AS far_min, max(CASE WHEN v THEN lo ELSE hi END) AS far_max, round(avg(CASE WHEN v THEN lo ELSE hi END), 6) AS far_avg FROM e GROUP BY 1""")
+def bar_ends(spark, d):
+    got = axis.ends(_lines(spark, d), ["o"], F.col("q"), F.col("d") * 400, F.col("o") % 2 == 0)
+    return got.withColumns({c: F.round(c, 6) for c in ("near_avg", "far_avg")})
+
+
+@query(f"""WITH {_LI}, b AS (SELECT o, floor(q / 12) AS band, d * 400 AS e, o % 2 = 0 AS v, (o % 2 = 0) <> (o % 5 = 0) AS up, CASE WHEN o % 3 > 0 THEN (o % 9) * 5 END AS z FROM li),
+                k AS (SELECT o, band, any_value(up) AS up, CASE WHEN any_value(up) THEN max(e) ELSE min(e) END AS e FROM b GROUP BY 1, 2),
+                s AS (SELECT o, count(*) AS bands, CASE WHEN any_value(up) THEN quantile_cont(e, 0.95) ELSE quantile_cont(e, 0.05) END AS p FROM k GROUP BY 1),
+                m AS (SELECT o, median(e) AS m, any_value(v) AS v, any_value(z) AS z FROM b GROUP BY 1), f AS (SELECT *, CASE WHEN bands >= 2 THEN p ELSE m END AS one FROM s JOIN m USING (o))
+           SELECT o, round(CASE WHEN z IS NOT NULL AND (NOT v OR abs(one - z) <= 10) THEN z ELSE one END, 5) AS baseline, bands, CASE WHEN z IS NOT NULL AND (NOT v OR abs(one - z) <= 10) THEN 'zero' WHEN bands >= 2 THEN 'stacks' ELSE 'median' END AS method FROM f""")
+def detected_baselines(spark, d):
+    o = F.col("o")
+    rows = _lines(spark, d).withColumn("near", F.col("d") * 400)
+    got = axis.detected_baseline(rows, ["o"], "q", "near", 12.0, o % 2 == 0, o % 5 == 0, F.when(o % 3 > 0, (o % 9) * 5))
+    return got.withColumn("baseline", F.round("baseline", 5))
+
+
+@query("""WITH f AS (SELECT l_suppkey, regr_slope(l_extendedprice, l_quantity) AS m, regr_intercept(l_extendedprice, l_quantity) AS c FROM lineitem GROUP BY 1),
+               r AS (SELECT l_suppkey, round(abs(l_extendedprice - (m * l_quantity + c)), 9) AS r FROM lineitem JOIN f USING (l_suppkey)), a AS (SELECT *, abs(r - median(r) OVER (PARTITION BY l_suppkey)) AS a FROM r)
+          SELECT l_suppkey, count(*) AS n, round(greatest(2.5 * CASE WHEN median(a) > 1e-9 THEN 1.4826 * median(a) ELSE stddev_pop(r) END, 100), 2) AS threshold FROM a GROUP BY 1""")
+def residual_thresholds(spark, d):
+    got = fits.residual_threshold(t(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice"), ["l_suppkey"], "l_quantity", "l_extendedprice", 100.0)
+    return got.withColumn("threshold", F.round("threshold", 2))
+
+
+@query(f"""WITH {_LI}, p AS (SELECT o, n, n % 2 AS label, q * 3 AS pos, 1 - d AS c, x AS dist, CASE o % 3 WHEN 0 THEN 'grouped' WHEN 1 THEN 'mixed' ELSE 'simple' END AS layout FROM li),
+                s AS (SELECT *, max(pos) OVER w - min(pos) OVER w AS span, least(150, 50 * sqrt(count(*) OVER w)) AS lim, row_number() OVER (PARTITION BY o, label ORDER BY c DESC, dist, pos) AS r FROM p WINDOW w AS (PARTITION BY o, label))
+           SELECT o, n, label FROM s WHERE r = 1 OR span < CASE layout WHEN 'grouped' THEN lim WHEN 'mixed' THEN 100 ELSE 0 END""")
+def shared_labels(spark, d):
+    layout = F.get(F.array(F.lit("grouped"), F.lit("mixed"), F.lit("simple")), (F.col("o") % 3).cast("int"))
+    pairs = _lines(spark, d).select("o", "n", (F.col("n") % 2).alias("label"), (F.col("q") * 3).alias("at"), (1 - F.col("d")).alias("confidence"), F.col("x").alias("distance"), layout.alias("layout"))
+    return associate.shared_when_grouped(pairs, ["o"], "label", "at", "layout").select("o", "n", "label")
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS kind, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1)
+          SELECT kind, n AS count, round(m, 4) AS f1_mean, round(s, 4) AS f1_std, row_number() OVER (ORDER BY m, kind)::int AS place FROM s""")
+def handler_report(spark, d):
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("f1"))
+    return r4(evaluate.handler_report(rows, "kind", ["f1"]), "f1_mean", "f1_std")
+
+
+@query(f"""WITH {_LI}, a AS (SELECT o, n, CASE WHEN n % 3 = 0 THEN 'bar' ELSE 'legend' END AS c, 'first' AS w FROM li WHERE o % 2 = 0), l AS (SELECT o, n, CASE WHEN n % 2 = 0 THEN 'bar' ELSE 'legend' END AS c, 'lower' AS w FROM li WHERE o % 5 > 1),
+                b AS (SELECT o, n, CASE WHEN n % 4 = 1 THEN 'bar' ELSE 'chart' END AS c, 'borrowed' AS w FROM li), ab AS (SELECT DISTINCT o FROM a WHERE c = 'bar'), lb AS (SELECT DISTINCT o FROM l WHERE c = 'bar')
+           SELECT o, n, c AS class_name, w AS source FROM a WHERE o IN (FROM ab) OR o NOT IN (FROM lb) UNION ALL SELECT * FROM l WHERE o NOT IN (FROM ab) AND o IN (FROM lb) UNION ALL SELECT * FROM b WHERE c = 'bar' AND o NOT IN (FROM ab) AND o NOT IN (FROM lb)""")
+def histogram_fallbacks(spark, d):
+    n = F.col("n")
+    side = lambda rows, bar, other, name: rows.select("o", "n", F.when(bar, "bar").otherwise(other).alias("class_name"), F.lit(name).alias("source"))
+    parts = (_lines(spark, d).where("o % 2 = 0"), n % 3 == 0, "legend", "first"), (_lines(spark, d).where("o % 5 > 1"), n % 2 == 0, "legend", "lower"), (_lines(spark, d), n % 4 == 1, "chart", "borrowed")
+    return routing.histogram_fallback(*[side(*p) for p in parts], ["o"])
+
+
+@query("SELECT o_custkey, count(*) AS total_rows, ceil(count(*) / 10.0)::int AS total_pages, o_custkey % 2 = 0 AND count(*) > 10 AS enabled FROM orders GROUP BY 1")
+def tab_pagination(spark, d):
+    kind = F.when(F.col("o_custkey") % 2 == 0, "heatmap").otherwise("bar")
+    return protocol.pagination(t(spark, d, "orders").withColumn("kind", kind), ["o_custkey"], "kind", 10)
+
+
+@query(f"WITH {_LI} SELECT o, n, CASE WHEN n % 4 = 0 THEN 'uncalibrated' WHEN d * 10 >= 0.85 AND (n % 4 = 1 OR x * 4 < 0.15) THEN 'high' WHEN d * 10 >= 0.15 THEN 'approximate' ELSE 'uncalibrated' END AS quality FROM li")
+def calibration_grades(spark, d):
+    n = F.col("n")
+    quality = S.calibration_quality(F.when(n % 4 > 0, F.col("d") * 10), F.when(n % 4 != 1, F.col("x") * 4))
+    return _lines(spark, d).select("o", "n", quality.alias("quality"))
+
+
+@query()
+def threshold_tuning(spark, d):
+    """The confidence threshold of best F1, detections matched anew at each; thresholds from 0.1 by 0.05."""
+    q, disc = F.col("q"), F.col("d") * 100
+    box = [q.alias("x1"), disc.alias("y1"), (q + 10).alias("x2"), (disc + 5).alias("y2")]
+    rows = _lines(spark, d)
+    truth = rows.where("n % 2 = 1").select("o", F.col("n").cast("long").alias("idx"), *box)
+    found = rows.where("n % 2 = 0").select("o", F.col("n").cast("long").alias("idx"), *box, (F.col("x") * 12).alias("conf"))
+    return evaluate.best_threshold(assign.threshold_counts(truth, found, "o", [round(0.1 + 0.05 * i, 2) for i in range(18)], 0.1))

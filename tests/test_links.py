@@ -53,3 +53,29 @@ def test_bands_and_dispatch(spark):
             if got[r["i"]][0] == k:
                 assert got[r["i"]][1] == r["role"]
     assert all(got[r[0]][0] == (r[7] if r[8] >= 0.7 and r[7] != "pie" else "bar") for r in rows)
+
+
+def test_threshold_tuning_matches_anew(spark):
+    from abacist.operators import evaluate
+
+    rng = np.random.default_rng(3)
+    side = lambda n: [(c, i, float(x), 0.0, float(x) + 8, 8.0) for c in range(12) for i, x in enumerate(rng.integers(0, 40, n))]
+    truth, found = side(4), [(*r, float(rng.integers(1, 20)) / 20) for r in side(6)]
+    steps = [round(0.1 + 0.05 * i, 2) for i in range(18)]
+    fields = "c int, idx long, x1 double, y1 double, x2 double, y2 double"
+    counts = assign.threshold_counts(spark.createDataFrame(truth, fields), spark.createDataFrame(found, fields + ", conf double"), "c", steps)
+    got = {r["threshold"]: r for r in evaluate.best_threshold(counts).collect()}
+    best = []
+    for t in steps:
+        tp = 0
+        for c in range(12):
+            free = [r for r in truth if r[0] == c]
+            for r in (r for r in found if r[0] == c and r[6] >= t):
+                iou = [max(min(r[4], g[4]) - max(r[2], g[2]), 0) / (16 - max(min(r[4], g[4]) - max(r[2], g[2]), 0)) for g in free]
+                if iou and max(iou) > 0.5:
+                    free.pop(iou.index(max(iou)))
+                    tp += 1
+        n = sum(r[6] >= t for r in found)
+        assert (got[t]["tp"], got[t]["n_det"], got[t]["n_gt"]) == (tp, n, 48)
+        best.append(round(2 * tp / (n + 48), 9))
+    assert [t for t in steps if got[t]["best"]] == [steps[best.index(max(best))]]
