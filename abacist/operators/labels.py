@@ -10,7 +10,7 @@ from abacist.functions import geometry as G
 
 # Fixed values by chart type: threshold, kernel factor and width, small box, region bonuses, numeric bonuses, title bounds and bonuses.
 PARAMETERS = {
-    "bar":       {"least": 2.0, "kernel": 1.0, "sigma": 0.09, "small": (0.08, 0.04, 3.0), "left": (0.15, 6.0), "right": (0.85, 5.0), "bottom": (0.85, 5.5), "numeric": 4.0, "title": (0.15, 0.10, 4.0), "aspect": (5.0, 0.20, 3.5), "center": 2.0},
+    "bar":       {"least": 2.0, "kernel": 1.0, "sigma": 0.09, "small": (0.08, 0.04, 3.0), "left": (0.15, 6.0), "right": (0.85, 5.0), "bottom": (0.85, 5.5), "numeric": 3.0, "title": (0.15, 0.10, 4.0), "aspect": (5.0, 0.20, 3.5), "center": 3.0},
     "box":       {"least": 2.5, "kernel": 1.0, "sigma": 0.09, "small": (0.065, 0.038, 3.5), "left": (0.22, 5.0), "right": (0.78, 4.0), "bottom": (0.78, 5.0), "numeric": 2.5, "title": (0.13, 0.09, 5.0), "aspect": (6.5, 0.15, 4.5), "center": 2.0},
     "histogram": {"least": 2.0, "kernel": 1.0, "sigma": 0.11, "small": (0.09, 0.05, 4.0), "left": (0.22, 5.5), "right": (1.01, 0.0), "bottom": (0.78, 6.0), "numeric": 4.0, "title": (0.13, 0.08, 5.5), "aspect": (6.0, 0.16, 5.0), "center": 2.0},
     "line":      {"least": 2.5, "kernel": 1.2, "sigma": 0.09, "small": (0.07, 0.035, 4.0), "left": (0.20, 6.5), "right": (0.80, 5.0), "bottom": (0.85, 6.0), "numeric": 4.0, "title": (0.12, 0.08, 5.0), "aspect": (6.0, 0.16, 4.0), "center": 2.0},
@@ -33,16 +33,18 @@ def kernels(nx: Column, ny: Column, sigma: float) -> dict[str, Column]:
     }
 
 
-def scores(kind: str, nx: Column, ny: Column, w: Column, h: Column, numeric: Column, vertical: Column) -> dict[str, Column]:
-    """Scores of the roles scale, tick and title for labels of one chart type."""
+def scores(kind: str, nx: Column, ny: Column, w: Column, h: Column, numeric: Column, vertical: Column, alignment: Column | None = None) -> dict[str, Column]:
+    """Scores of the roles scale, tick and title for labels of one chart type; ``alignment``: how well a label of a bar or box chart meets an element."""
     p = PARAMETERS[kind]
     k = {n: c * p["kernel"] for n, c in kernels(nx, ny, p["sigma"]).items()}
     add = lambda condition, value: F.when(condition, value).otherwise(0.0)
     aspect, edge = w / (h + 1e-6), F.least(nx, 1 - nx, ny, 1 - ny)
     in_region = add(vertical & (nx < p["left"][0]), p["left"][1]) + add(vertical & (nx > p["right"][0]), p["right"][1]) + add(~vertical & (ny > p["bottom"][0]), p["bottom"][1])
     scale = k["left"] + k["right"] + add((w < p["small"][0]) & (h < p["small"][1]), p["small"][2]) + in_region
-    scale = scale + add(numeric, p["numeric"]) + 2 * F.greatest(1 - edge / 0.15, F.lit(0.0)) - p["center"] * k["center"]
-    tick = k["bottom"] + add(vertical & (ny > 0.75), 7.0) + add(~vertical & (nx < 0.25), 6.5) + add(~numeric, 2.0) - 0.5 * k["center"]
+    scale = scale + add(numeric, p["numeric"]) + 2 * F.greatest((0.2 - edge) / 0.2, F.lit(0.0)) - p["center"] * k["center"]
+    tick = k["bottom"] * (6.0 / BOTTOM if kind == "bar" else 1.0) + add(vertical & (ny > 0.75), 7.0) + add(~vertical & (nx < 0.25), 6.5) + add(~numeric, 2.0) - 0.5 * p["center"] * k["center"]
+    if alignment is not None and kind in ("bar", "box"):
+        tick = tick + (5.0 * alignment if kind == "bar" else 4.0 * alignment + add(alignment > 0.6, 3.0))
     title = k["top"] + add((w > p["title"][0]) | (h > p["title"][1]), p["title"][2]) + add((aspect > p["aspect"][0]) | (aspect < p["aspect"][1]), p["aspect"][2])
     if kind in ("line", "scatter", "histogram"):
         tick = add(~numeric & (ny > 0.7), 1.0) if kind == "line" else add(~numeric & (ny > 0.8), 2.0) if kind == "histogram" else F.lit(0.0)
@@ -50,22 +52,44 @@ def scores(kind: str, nx: Column, ny: Column, w: Column, h: Column, numeric: Col
     return {"scale": scale, "tick": tick, "title": title}
 
 
+def alignment(labels: DataFrame, elements: DataFrame, key: list[str], at: str, element_at: str) -> DataFrame:
+    """Labels with ``alignment``: 1 within half a mean spacing of the nearest element's centre, 0.5 within a whole one, else 0. A chart's elements are gathered."""
+    held = elements.groupBy(*key).agg(F.collect_list(element_at).alias("_e"), ((F.max(element_at) - F.min(element_at)) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("_gap"))
+    near = F.array_min(F.transform("_e", lambda e: F.abs(F.col(at) - e)))
+    score = F.when(near < 0.5 * F.col("_gap"), 1.0).when(near < F.col("_gap"), 0.5).otherwise(0.0)
+    return labels.join(held, key, "left").withColumn("alignment", score).drop("_e", "_gap")
+
+
 def roles(labels: DataFrame, kind: str) -> DataFrame:
-    """``role`` and ``margin`` of labels (``nx, ny, w, h, numeric, vertical``): the best score above the threshold, else by the edge."""
-    found = scores(kind, *[F.col(c) for c in ("nx", "ny", "w", "h", "numeric", "vertical")])
+    """``role`` and ``margin`` of labels (``nx, ny, w, h, numeric, vertical``, and ``alignment`` and ``below`` (the boxes) where known): the best score
+    above the threshold, else by place; then bar, box and histogram labels whose place contradicts their role change it.
+    """
+    given = F.col("alignment") if "alignment" in labels.columns else None
+    found = scores(kind, *[F.col(c) for c in ("nx", "ny", "w", "h", "numeric", "vertical")], given)
     out = labels.withColumns({f"score_{r}": F.round(c, 9) for r, c in found.items()})
     s = {r: F.col(f"score_{r}") for r in found}
     best = F.greatest(*s.values())
     ranked = F.array_sort(F.array(*s.values()))
     out = out.withColumn("margin", ranked[2] - ranked[1])
-    least = PARAMETERS[kind]["least"]
-    limit = F.when(F.col("margin") < 0.5, least * 1.25).when(F.col("margin") > 2, least * 0.9).otherwise(least) if kind in ("bar", "box", "histogram") else F.lit(least)
-    edge = F.least(F.col("nx"), 1 - F.col("nx"), F.col("ny"), 1 - F.col("ny"))
-    by_place = F.when(F.col("numeric") | (edge < 0.15), "scale").when(edge > 0.3, "tick").otherwise("title")
+    p = PARAMETERS[kind]
+    unclear = 1.3 if kind == "box" else 1.25
+    limit = F.when(F.col("margin") < 0.5, p["least"] * unclear).when(F.col("margin") > 2, p["least"] * 0.9).otherwise(p["least"]) if kind in ("bar", "box", "histogram") else F.lit(p["least"])
+    ny, numeric = F.col("ny"), F.col("numeric")
+    edge = F.least(F.col("nx"), 1 - F.col("nx"), ny, 1 - ny)
+    below = F.col("below") if "below" in labels.columns else F.lit(False)
+    small = (F.col("w") < p["small"][0]) & (F.col("h") < p["small"][1])
+    rest = "title" if kind == "histogram" else "tick"
+    by_place = F.when(edge < 0.15, "scale").when(edge > 0.3, rest).when(small | numeric, "scale").otherwise(rest)
+    if kind == "box":
+        by_place = F.when(below | (ny > 0.82), "tick").otherwise(by_place)
     if kind in ("line", "scatter"):
-        by_place = F.when(F.col("numeric"), "scale").otherwise("title")
+        by_place = F.when(numeric, "scale").otherwise("title")
     chosen = F.when(s["scale"] == best, "scale").when(s["tick"] == best, "tick").otherwise("title")
-    return out.withColumn("role", F.when(best > limit, chosen).otherwise(by_place))
+    role = F.when(best > limit, chosen).otherwise(by_place)
+    if kind in ("bar", "box", "histogram"):
+        at_edge = ~below & ((edge < 0.1) | ((ny > 0.8) & (edge < 0.25))) if kind == "box" else edge < 0.1
+        role = F.when((role == "scale") & (edge >= 0.25), rest).when((role == "tick") & at_edge, "scale").otherwise(role)
+    return out.withColumn("role", role)
 
 
 def axis_of_scale(nx: Column, ny: Column) -> Column:

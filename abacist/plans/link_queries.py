@@ -276,3 +276,11 @@ def pie_roles(spark, d):
     text = F.when(n == 7, "").when(n % 3 == 0, "about 25% of it").when((n % 3 == 1) & (o % 2 == 0), " 12.5 ").otherwise("Group 2")
     role = labels.pie_role(text, F.when(n % 2 == 1, 0).otherwise(-1), F.col("q"), F.lit(10.0))
     return _lines(spark, d).select("o", "n", role.alias("role"))
+
+
+@query(f"""WITH {_LI}, e AS (SELECT o, (max(q) - min(q)) / greatest(count(*) - 1, 1) AS gap FROM li WHERE n % 2 = 1 GROUP BY 1), k AS (SELECT a.o, a.n, min(abs(a.q + 2 - b.q)) AS near FROM li a JOIN li b ON a.o = b.o AND a.n % 2 = 0 AND b.n % 2 = 1 GROUP BY 1, 2)
+           SELECT li.o, li.n, CASE WHEN near < 0.5 * gap THEN 1 WHEN near < gap THEN 0.5 ELSE 0 END::double AS alignment FROM li LEFT JOIN k USING (o, n) LEFT JOIN e ON e.o = li.o WHERE li.n % 2 = 0""")
+def label_alignment(spark, d):
+    rows = _lines(spark, d)
+    ticks = rows.where("n % 2 = 0").select("o", "n", (F.col("q") + 2).alias("at"))
+    return labels.alignment(ticks, rows.where("n % 2 = 1").select("o", "q"), ["o"], "at", "q").select("o", "n", "alignment")

@@ -610,15 +610,16 @@ def table_parse(spark, d):
                e AS (SELECT *, least(nx, 1 - nx, ny, 1 - ny) AS edge, exp(-((nx - 0.08) ** 2 + (ny - 0.5) ** 2) / (2 * 0.0081)) AS kl, exp(-((nx - 0.92) ** 2 + (ny - 0.5) ** 2) / (2 * 0.0081)) AS kr,
                             exp(-((nx - 0.5) ** 2 + (ny - 0.92) ** 2) / (2 * 0.0081)) AS kb, exp(-((nx - 0.5) ** 2 + (ny - 0.08) ** 2) / (2 * 0.0081)) AS kt,
                             CASE WHEN nx > 0.2 AND nx < 0.8 AND ny > 0.2 AND ny < 0.8 THEN exp(-((nx - 0.5) ** 2 + (ny - 0.5) ** 2) / 0.08) ELSE 0 END AS kc FROM f),
-               s AS (SELECT l_orderkey, l_linenumber, num, edge,
+               s AS (SELECT l_orderkey, l_linenumber, num, edge, w < 0.08 AND h < 0.04 AS small,
                  round(CASE WHEN nx < 0.2 AND ny > 0.1 AND ny < 0.9 THEN 5 * kl ELSE 0 END + CASE WHEN nx > 0.8 AND ny > 0.1 AND ny < 0.9 THEN 4 * kr ELSE 0 END + CASE WHEN w < 0.08 AND h < 0.04 THEN 3 ELSE 0 END
-                   + CASE WHEN v AND nx < 0.15 THEN 6 ELSE 0 END + CASE WHEN v AND nx > 0.85 THEN 5 ELSE 0 END + CASE WHEN NOT v AND ny > 0.85 THEN 5.5 ELSE 0 END + CASE WHEN num THEN 4 ELSE 0 END
-                   + 2 * greatest(1 - edge / 0.15, 0) - 2 * kc, 9) AS sc,
-                 round(CASE WHEN nx > 0.15 AND nx < 0.85 AND ny > 0.8 THEN 5 * kb ELSE 0 END + CASE WHEN v AND ny > 0.75 THEN 7 ELSE 0 END + CASE WHEN NOT v AND nx < 0.25 THEN 6.5 ELSE 0 END + CASE WHEN NOT num THEN 2 ELSE 0 END - 0.5 * kc, 9) AS ti,
+                   + CASE WHEN v AND nx < 0.15 THEN 6 ELSE 0 END + CASE WHEN v AND nx > 0.85 THEN 5 ELSE 0 END + CASE WHEN NOT v AND ny > 0.85 THEN 5.5 ELSE 0 END + CASE WHEN num THEN 3 ELSE 0 END
+                   + 2 * greatest((0.2 - edge) / 0.2, 0) - 3 * kc, 9) AS sc,
+                 round(CASE WHEN nx > 0.15 AND nx < 0.85 AND ny > 0.8 THEN 6 * kb ELSE 0 END + CASE WHEN v AND ny > 0.75 THEN 7 ELSE 0 END + CASE WHEN NOT v AND nx < 0.25 THEN 6.5 ELSE 0 END + CASE WHEN NOT num THEN 2 ELSE 0 END - 1.5 * kc, 9) AS ti,
                  round(CASE WHEN nx > 0.15 AND nx < 0.85 AND ny < 0.15 THEN 4 * kt ELSE 0 END + CASE WHEN w > 0.15 OR h > 0.1 THEN 4 ELSE 0 END + CASE WHEN w / (h + 1e-6) > 5 OR w / (h + 1e-6) < 0.2 THEN 3.5 ELSE 0 END, 9) AS tt FROM e),
-               m AS (SELECT *, greatest(sc, ti, tt) AS best, list_sort([sc, ti, tt])[3] - list_sort([sc, ti, tt])[2] AS margin FROM s)
-          SELECT l_orderkey, l_linenumber, CASE WHEN best > CASE WHEN margin < 0.5 THEN 2.5 WHEN margin > 2 THEN 1.8 ELSE 2 END THEN CASE WHEN sc = best THEN 'scale' WHEN ti = best THEN 'tick' ELSE 'title' END
-                 WHEN num OR edge < 0.15 THEN 'scale' WHEN edge > 0.3 THEN 'tick' ELSE 'title' END AS role FROM m""")
+               m AS (SELECT *, greatest(sc, ti, tt) AS best, list_sort([sc, ti, tt])[3] - list_sort([sc, ti, tt])[2] AS margin FROM s),
+               r AS (SELECT *, CASE WHEN best > CASE WHEN margin < 0.5 THEN 2.5 WHEN margin > 2 THEN 1.8 ELSE 2 END THEN CASE WHEN sc = best THEN 'scale' WHEN ti = best THEN 'tick' ELSE 'title' END
+                            WHEN edge < 0.15 THEN 'scale' WHEN edge > 0.3 THEN 'tick' WHEN small OR num THEN 'scale' ELSE 'tick' END AS first FROM m)
+          SELECT l_orderkey, l_linenumber, CASE WHEN first = 'scale' AND edge >= 0.25 THEN 'tick' WHEN first = 'tick' AND edge < 0.1 THEN 'scale' ELSE first END AS role FROM r""")
 def label_roles(spark, d):
     rows = t(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_quantity") / 51.0).alias("nx"), (F.col("l_tax") * 10).alias("ny"), F.col("l_discount").alias("w"),
