@@ -36,8 +36,10 @@ def line_values(spark, d):
            SELECT l_orderkey, count(*) AS num_points, round(any_value(b) + 0.0003, 2) AS baseline_value, CASE WHEN any_value(b) IS NOT NULL THEN round(sum(a) + 0.003, 0) END AS total_auc FROM a GROUP BY 1""")
 def area_summary(spark, d):
     got = values.height_values(t(spark, d, "lineitem"), _fits(spark, d), ["l_orderkey"], F.col("l_quantity"), F.lit(20.0))
-    got = values.area_summary(got.withColumn("tie", F.struct("l_linenumber", "l_partkey")), ["l_orderkey"], F.col("l_discount") * 1000, "tie", F.lit(20.0))
-    return got.select("l_orderkey", "num_points", F.round(F.col("baseline_value") + 0.0003, 2).alias("baseline_value"), F.round(F.col("total_auc") + 0.003, 0).alias("total_auc"))
+    # by quantity where the SQL leaves the order open; sums whose last bits depend on the rows' order are first rounded past those, so that halves go up
+    got = values.area_summary(got.withColumn("tie", F.struct("l_linenumber", "l_partkey", "l_quantity")), ["l_orderkey"], F.col("l_discount") * 1000, "tie", F.lit(20.0))
+    base, area = F.round("baseline_value", 9) + 0.0003, F.round("total_auc", 7) + 0.003
+    return got.select("l_orderkey", "num_points", F.round(base, 2).alias("baseline_value"), F.round(area, 0).alias("total_auc"))
 
 
 _BOX = """bx AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity AS q1, l_quantity + 1 + l_linenumber * 2 AS q3, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity + 0.5 + l_tax * 10 END AS median,
