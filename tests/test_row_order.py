@@ -1,6 +1,6 @@
 """Results that depend on the rows, not on their order or on the last bits of sums."""
 
-from abacist.plans import value_queries
+from abacist.plans import queries, value_queries
 
 POINTS = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"
 
@@ -22,3 +22,10 @@ def test_area_of_equal_places(spark, tmp_path):
     ahead, back = both_ways(spark, tmp_path, rows, POINTS, value_queries.area_summary)
     assert ahead == back
     assert ahead[1] == (2, 4, 68526.69, 1344113.0)
+
+
+def test_association_of_equal_pairs(spark, tmp_path):
+    fields = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    rows = [(1, 2, 4999, 49.0, 0.1, "A", "F"), (1, 2, 19770, 23.0, 0.01, "R", "F"), (1, 5, 14660, 24.0, 0.09, "R", "O"), (1, 5, 6961, 50.0, 0.09, "N", "F")]
+    ahead, back = both_ways(spark, tmp_path, rows, fields, queries.ranked_association)
+    assert ahead == back == [(1, 2, 5, "direct_overlap", 0.9)]
