@@ -1,6 +1,6 @@
 """Results that depend on the rows, not on their order or on the last bits of sums."""
 
-from abacist.plans import queries, value_queries
+from abacist.plans import queries, rule_queries, value_queries
 
 POINTS = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"
 
@@ -29,3 +29,11 @@ def test_association_of_equal_pairs(spark, tmp_path):
     rows = [(1, 2, 4999, 49.0, 0.1, "A", "F"), (1, 2, 19770, 23.0, 0.01, "R", "F"), (1, 5, 14660, 24.0, 0.09, "R", "O"), (1, 5, 6961, 50.0, 0.09, "N", "F")]
     ahead, back = both_ways(spark, tmp_path, rows, fields, queries.ranked_association)
     assert ahead == back == [(1, 2, 5, "direct_overlap", 0.9)]
+
+
+def test_label_of_equal_bars(spark, tmp_path):
+    # simple layouts (o % 3 = 2), bars 2 and 6 equal but for their number
+    rows = [(o, n, q, 1000.0, d, 0.02) for o in range(2, 62, 3) for n, q, d in ((1, 43.0, 0.05), (6, 8.0, 0.06), (4, 47.0, 0.09), (2, 8.0, 0.06), (7, 23.0, 0.02))]
+    fields = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    ahead, back = both_ways(spark, tmp_path, rows, fields, rule_queries.shared_labels)
+    assert ahead == back == sorted((o, n, n % 2) for o in range(2, 62, 3) for n in (2, 7))
