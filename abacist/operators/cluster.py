@@ -153,7 +153,8 @@ def chosen_clusters(rows: DataFrame, key: str, order: str, x: str, y: str) -> Da
 def point_features(points: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """``n, mean_distance, std_distance, density_variance, outlier_ratio, aspect_ratio`` of a chart's points, over all its pairs; charts under two points go.
 
-    Density: of the five nearest others. Outliers: points without another within twice the mean distance. A chart's points are gathered.
+    Density: of the five nearest others. Outliers: points without another within twice the mean distance, that distance included up to the last bits of
+    the mean's sum (three equal points and a fourth: its distance is exactly twice the mean). A chart's points are gathered.
     """
     gathered = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
     p, n = F.col("p"), F.size("p")
@@ -165,7 +166,7 @@ def point_features(points: DataFrame, key: list[str], x: str, y: str) -> DataFra
     rows = rows.withColumn("d", F.flatten(F.transform("rows", lambda r: F.slice(r, 2, n - 1)))).withColumn("mean_distance", mean(F.col("d")))
     density = F.transform("rows", lambda r: 1 / (mean(F.slice(r, 2, F.least(n - 1, F.lit(5)))) + 1e-6))
     rows = rows.withColumn("density", density).withColumn("_m", mean(F.col("density")))
-    alone = F.size(F.filter("rows", lambda r: F.get(r, F.lit(1)) > 2 * F.col("mean_distance")))
+    alone = F.size(F.filter("rows", lambda r: F.get(r, F.lit(1)) > 2 * (1 + 1e-12) * F.col("mean_distance")))
     span = lambda axis: F.array_max(F.transform(p, lambda a: a[axis])) - F.array_min(F.transform(p, lambda a: a[axis]))
     return rows.select(
         *key, n.alias("n"), "mean_distance", vary(F.col("d"), F.col("mean_distance")).alias("std_distance"), (vary(F.col("density"), F.col("_m")) / (F.col("_m") + 1e-6)).alias("density_variance"),

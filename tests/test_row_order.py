@@ -1,5 +1,6 @@
 """Results that depend on the rows, not on their order or on the last bits of sums."""
 
+from abacist.operators import cluster
 from abacist.plans import queries, rule_queries, value_queries
 
 POINTS = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"
@@ -37,3 +38,11 @@ def test_label_of_equal_bars(spark, tmp_path):
     fields = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
     ahead, back = both_ways(spark, tmp_path, rows, fields, rule_queries.shared_labels)
     assert ahead == back == sorted((o, n, n % 2) for o in range(2, 62, 3) for n in (2, 7))
+
+
+def test_point_at_twice_the_mean_distance(spark):
+    ends = [(a, b) for a in range(1, 50) for b in range(0, 41, 4)]
+    rows = [(i, float(x), float(y)) for i, e in enumerate(ends) for x, y in ((0, 0), (0, 0), (0, 0), e)]
+    rows += [(-1, float(x), 0.0) for x in (0, 0, 0, 0, 9)]  # beyond twice the mean
+    got = cluster.point_features(spark.createDataFrame(rows, "o long, x double, y double"), ["o"], "x", "y").collect()
+    assert {r.o: r.outlier_ratio for r in got} == {-1: 0.2} | dict.fromkeys(range(len(ends)), 0.0)
