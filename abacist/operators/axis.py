@@ -11,7 +11,8 @@ def orientation(rows: DataFrame, key: list[str], width: str, height: str, x: str
     """``orientation, confidence, method`` of each chart's bars.
 
     Bars vary along the value axis: the side that varies twice as much, else the ratio of the median sides if enough bars agree, else
-    the spread of centres (against the image's ``extent``), else the majority, else vertical. A single bar goes by its sides.
+    the spread of centres (against the image's ``extent``), else the majority, else vertical. A single bar goes by its sides. Spreads that are exactly
+    a limit or twice another don't exceed it, whatever the last bits of their sums.
     """
     vary = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
     upright, lying = F.col(height) > 1.5 * F.col(width), F.col(width) > 1.5 * F.col(height)
@@ -25,15 +26,16 @@ def orientation(rows: DataFrame, key: list[str], width: str, height: str, x: str
     one = F.lit(1.0)
     choice = lambda what, sure, how: F.struct(F.lit(what).alias("orientation"), F.least(one, sure).alias("confidence"), F.lit(how).alias("method"))
     spread = lambda a, b: a / (b + 1e-6) / 2
+    above = lambda a, b: a > b * (1 + 1e-12)
     decided = (
         F.when((n == 1) & (aspect > 1), choice("vertical", F.abs(aspect - 1), "single_element"))
         .when(n == 1, choice("horizontal", F.abs(aspect - 1), "single_element"))
-        .when((h > 0.15) & (h > 2 * w), choice("vertical", spread(h, w), "variance"))
-        .when((w > 0.15) & (w > 2 * h), choice("horizontal", spread(w, h), "variance"))
+        .when(above(h, 0.15) & above(h, 2 * w), choice("vertical", spread(h, w), "variance"))
+        .when(above(w, 0.15) & above(w, 2 * h), choice("horizontal", spread(w, h), "variance"))
         .when((aspect > 1.5) & (agree > 0.6), choice("vertical", agree * (aspect - 1.5) / 1.5, "aspect_ratio"))
         .when((aspect < 1 / 1.5) & (agree > 0.6), choice("horizontal", agree * (1 / aspect - 1.5) / 1.5, "aspect_ratio"))
-        .when((vx > 2 * vy) & (spread(vx, vy) > 0.6), choice("vertical", spread(vx, vy), "spatial_distribution"))
-        .when((vy > 2 * vx) & (spread(vy, vx) > 0.6), choice("horizontal", spread(vy, vx), "spatial_distribution"))
+        .when(above(vx, 2 * vy) & (spread(vx, vy) > 0.6), choice("vertical", spread(vx, vy), "spatial_distribution"))
+        .when(above(vy, 2 * vx) & (spread(vy, vx) > 0.6), choice("horizontal", spread(vy, vx), "spatial_distribution"))
         .when(up > flat, choice("vertical", up / n, "majority_vote"))
         .when(flat > up, choice("horizontal", flat / n, "majority_vote"))
         .otherwise(choice("vertical", F.lit(0.5), "default_fallback"))
